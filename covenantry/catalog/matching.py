@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from covenantry.catalog import query
-from covenantry.functions.text import normalize_text
+from covenantry.functions.text import collapse_js, normalize_text
 from covenantry.operators import anchoring as A, dedup as D, pages as P, scoring as S
 from covenantry.operators.context import context_blocks, context_digest
 
@@ -40,10 +40,8 @@ def sentence(fx):
 
 @query("G3_anchor_fuzzy")
 def fuzzy(fx):
-    pages = A.prepare_pages(fx.pages_line)
-    rest = fx.quotes.join(A.anchor_exact(fx.quotes, pages), ["document_id", "item_id"], "left_anti")
-    rest = rest.join(A.anchor_sentence(rest, pages), ["document_id", "item_id"], "left_anti")
-    return A.anchor_fuzzy(rest, pages).select("document_id", "item_id", "hit.*")
+    """Fuzzy matching of every quote, also of those that anchor exactly."""
+    return A.anchor_fuzzy(fx.quotes, A.prepare_pages(fx.pages_line)).select("document_id", "item_id", "hit.*")
 
 
 def _items(fx):
@@ -174,31 +172,58 @@ def risk_labels(fx):
 
 
 _BLOCKS = r"""
-with l as (select doc_id as document_id, unnest(string_split(replace(replace(text, chr(13), ''), '•', chr(10) || '• '), chr(10))) as raw,
-             unnest(range(1, 1 + len(string_split(replace(replace(text, chr(13), ''), '•', chr(10) || '• '), chr(10))))) as i from {documents}),
+with l as (select doc_id as document_id, unnest(string_split(replace(replace(MARKED, chr(13), ''), '•', chr(10) || '• '), chr(10))) as raw,
+             unnest(range(1, 1 + len(string_split(replace(replace(MARKED, chr(13), ''), '•', chr(10) || '• '), chr(10))))) as i from {documents}),
 t as (select document_id, i, regexp_matches(trim(raw, e' \t'), '^[•\-–]') as marked,
         trim(regexp_replace(regexp_replace(trim(raw, e' \t'), '^[•\-–]+\s*', ''), '\s+', ' ', 'g')) as body from l),
 u as (select *, sum(case when marked then 1 else 0 end) over (partition by document_id order by i) as b from t where body <> ''),
-k as (select document_id, b, string_agg(body, ' ' order by i) as block from u group by document_id, b),
-blocks as (select document_id, cast(row_number() over (partition by document_id order by b) - 1 as int) as block_no, block from k where b > 0 and length(block) > 12)"""
+bl as (select document_id, b, string_agg(body, ' ' order by i) as block from u group by document_id, b),
+blocks as (select document_id, cast(row_number() over (partition by document_id order by b) - 1 as int) as block_no, block from bl where b > 0 and length(block) > 12)""".replace("MARKED", "replace(text, '. ', '.' || chr(10) || '- ')")
+
+
+def _marked(fx):
+    """Documents with every sentence but a line's first set as a list entry."""
+    return fx.documents.select(
+        F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"),
+        F.replace("text", F.lit(". "), F.lit(".\n- ")).alias("raw_text"))
 
 
 @query("G12_context_blocks", _BLOCKS + """
 select document_id, block_no, block from blocks""")
 def blocks(fx):
-    pages = fx.documents.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), F.col("text").alias("raw_text"))
-    return context_blocks(pages).select("document_id", "block_no", "block")
-
-
-@query("G12_context_digest")
+    return context_blocks(_marked(fx)).select("document_id", "block_no", "block")
+
+
+@query("G12_context_digest", _BLOCKS + r"""
+, q as (select document_id * 100000 + page_number as evidence_id, document_id, trim(regexp_replace(raw_text, '\s+', ' ', 'g')) as q
+        from {pages_line} where length(raw_text) >= 30),
+e as (select evidence_id, document_id, trim(list_extract(string_split(q, '. '), 1)) as q from q),
+n as (select document_id, block_no, block, lag(block) over w as before, lead(block) over w as after from blocks
+      window w as (partition by document_id order by block_no)),
+h as (select e.evidence_id, e.q, n.before, n.after, row_number() over (partition by e.evidence_id order by n.block_no) as r
+      from e join n on n.document_id = e.document_id where contains(n.block, e.q)),
+s as (select evidence_id, q, side, t from (select evidence_id, q, 1 as side, before as t from h where r = 1 union all select evidence_id, q, 2, after from h where r = 1) x
+      where t is not null),
+c as (select *, trim(regexp_replace(regexp_replace(lower(t), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) as a,
+        trim(regexp_replace(regexp_replace(lower(q), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) as b from s),
+k as (select * from c where not (a <> '' and b <> '' and (contains(a, b) or contains(b, a) or
+        len(list_intersect(string_split(a, ' '), string_split(b, ' ')))::double / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))) >= 0.8))
+      and len(string_split(t, ' ')) >= 5 and not regexp_matches(t, '[(-]$') and not (regexp_matches(t, '(?i)^\(?eff\.\s*[0-9]') and len(string_split(t, ' ')) < 7))
+select e.evidence_id, cast(count(distinct k.t) as int) as bullets from e left join k on k.evidence_id = e.evidence_id group by e.evidence_id""")
 def digest(fx):
-    marked = fx.documents.select(
-        F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"),
-        F.concat(F.lit("- "), F.replace("text", F.lit("\n"), F.lit("\n- "))).alias("raw_text"))
+    q = F.trim(F.substring_index(collapse_js("quote"), ". ", 1))
     proof = fx.truth.select(
         (F.col("document_id") * 100000 + F.col("item_no")).alias("evidence_id"), "document_id",
-        F.lit(1).alias("page_number"), "quote")
-    d = context_digest(proof, marked)
+        F.lit(1).alias("page_number"), q.alias("quote"))
+    return context_digest(proof, _marked(fx)).select("evidence_id", F.size("bullets").alias("bullets"))
+
+
+@query("G12_context_references")
+def references(fx):
+    proof = fx.obligations.select(
+        F.col("obligation_id").alias("evidence_id"), F.col("document_id"), F.lit(1).alias("page_number"),
+        F.col("obligation_text").alias("quote"))
+    d = context_digest(proof, _marked(fx))
     return d.select("evidence_id", F.size("bullets").alias("bullets"), F.array_join("references", "|").alias("refs"))
 
 

@@ -66,12 +66,20 @@ def canonical(c: Column) -> Column:
     return collapse_js(plain)
 
 
-def redundant(context: Column, quote: Column) -> Column:
-    a, b = canonical(context), canonical(quote)
-    close = jaccard(F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))) >= SAME_FROM
+def redundant(a: Column, a_words: Column, b: Column, b_words: Column) -> Column:
+    """Do two canonical texts (with their word sets) say the same?"""
+    close = jaccard(a_words, b_words) >= SAME_FROM
     return (a != "") & (b != "") & ((a == b) | F.contains(a, b) | F.contains(b, a) | close)
 
 
+def _side(c: Column) -> Column:
+    """A block with all that is asked of it as a neighbour, worked out once per block."""
+    plain = canonical(c)
+    return F.struct(
+        c.alias("text"), plain.alias("plain"), F.array_distinct(F.split(plain, " ")).alias("words"),
+        useful(c).alias("useful"))
+
+
 def useful(c: Column) -> Column:
     text = collapse_js(c)
     words = F.size(F.split(text, " "))
@@ -87,19 +95,28 @@ def context_digest(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     containment test is part of that join.
     """
     w = W.partitionBy("document_id", "page_number").orderBy("block_no")
-    blocks = context_blocks(pages).withColumns({
-        "before": F.lag("block").over(w), "after": F.lead("block").over(w)})
-    asked = evidence.select("evidence_id", "document_id", "page_number", collapse_js("quote").alias("q"))
+    blocks = context_blocks(pages).withColumn("side", _side(F.col("block"))).withColumns({
+        "before": F.lag("side").over(w), "after": F.lead("side").over(w)}).drop("side")
+    plain = canonical(F.col("q"))
+    asked = evidence.select(
+        "evidence_id", "document_id", "page_number", collapse_js("quote").alias("q")
+    ).withColumn("plain", plain).withColumn("words", F.array_distinct(F.split("plain", " ")))
     hit = (
-        asked.join(blocks, ["document_id", "page_number"])
+        asked.select("evidence_id", "document_id", "page_number", "q")
+        .join(blocks, ["document_id", "page_number"])
         .filter(F.contains(F.col("block"), F.col("q")))
         .groupBy("document_id", "page_number", "evidence_id")
         .agg(F.min_by(F.struct("before", "after"), "block_no").alias("near"))
     )
     df = asked.join(hit, ["document_id", "page_number", "evidence_id"], "left")
-    around = F.filter(
-        F.array("near.before", "near.after"),
-        lambda t: t.isNotNull() & (t != "") & ~redundant(t, F.col("q")) & useful(t))
+
+    def neighbour(name: str) -> Column:
+        side = F.col(f"near.{name}")
+        keep = (side["text"] != "") & side["useful"] & ~redundant(
+            side["plain"], side["words"], F.col("plain"), F.col("words"))
+        return F.when(keep, side["text"])
+
+    around = F.array_compact(F.array(neighbour("before"), neighbour("after")))
     df = df.withColumn("bullets", F.when(F.col("near").isNotNull(), F.array_distinct(around))
                        .otherwise(F.array().cast("array<string>")))
     own = F.when(F.col("q") == "", F.array().cast("array<string>")).otherwise(F.array("q"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from covenantry.functions.similarity import rouge_l
 from covenantry.functions.text import page_ranges, statutory_pattern, word_tokens
 from covenantry.schema import SEVERITY_RANK, rank_of
+from covenantry.session import spread
 
 
 def quote_pairs(truth: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
@@ -30,7 +31,7 @@ def quote_pairs(truth: DataFrame, found: DataFrame, threshold: float) -> DataFra
     shared_gt = F.size(F.filter("gt_t", lambda t: F.array_contains("pl_t", t)))
     shared_pl = F.size(F.filter("pl_t", lambda t: F.array_contains("gt_t", t)))
     by_tokens = (2.0 * F.least(shared_gt, shared_pl)) / (m + n) >= threshold - 1e-9
-    pairs = gt.join(pl, "document_id").filter(by_length).filter(by_tokens)
+    pairs = spread(gt.join(pl, "document_id").filter(by_length).filter(by_tokens), "gt_key", "pl_key")
     return pairs.select(
         "document_id", "gt_key", "pl_key", rouge_l("gt_key_q", "pl_key_q").alias("score")
     ).filter(F.col("score") > threshold - 1e-9)
@@ -52,36 +53,40 @@ def match_items(truth: DataFrame, found: DataFrame, threshold: float = 0.5) -> D
                       ["document_id", "key"], "left_semi")
     live_pl = pl.join(edges.select("document_id", F.col("pl_key").alias("key")).distinct(),
                       ["document_id", "key"], "left_semi")
-    none = F.lit(None)
-    rows = (
-        live_gt.select("document_id", F.lit(0).alias("kind"), "no", "key",
-                       none.cast("long").alias("other"), none.cast("double").alias("score"))
-        .unionByName(live_pl.select("document_id", F.lit(1).alias("kind"), "no", "key",
-                                    none.cast("long").alias("other"), none.cast("double").alias("score")))
-        .unionByName(edges.select("document_id", F.lit(2).alias("kind"), none.cast("long").alias("no"),
-                                  F.col("gt_key").alias("key"), F.col("pl_key").alias("other"), "score"))
-    )
+    def per_document(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        return df.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
 
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        free: dict[int, list[int]] = {}
-        for no, key in group.loc[group["kind"] == 1].sort_values("no", ascending=False)[
-                ["no", "key"]].itertuples(index=False):
-            free.setdefault(key, []).append(no)
-        partners: dict[int, list[tuple[int, float]]] = {}
-        for key, other, score in group.loc[group["kind"] == 2, ["key", "other", "score"]].itertuples(index=False):
-            partners.setdefault(key, []).append((int(other), score))
-        out = []
-        for no, key in group.loc[group["kind"] == 0].sort_values("no")[["no", "key"]].itertuples(index=False):
-            options = [(-score, free[p][-1], p) for p, score in partners[key] if free.get(p)]
-            if options:
-                score, chosen, p = min(options)
-                free[p].pop()
-                out.append((group["document_id"].iat[0], int(no), int(chosen), -score))
-        return pd.DataFrame(out, columns=["document_id", "gt_no", "pl_no", "score"])
-
-    kind = rows.schema["document_id"].dataType.simpleString()
-    return rows.groupBy("document_id").applyInPandas(
-        assign, f"document_id {kind}, gt_no long, pl_no long, score double")
+    documents = (
+        per_document(live_gt, "g", "no", "key").join(per_document(live_pl, "p", "no", "key"), "document_id")
+        .join(per_document(edges, "e", "gt_key", "pl_key", "score"), "document_id")
+    )
+    result = T.ArrayType(T.StructType().add("gt_no", "long").add("pl_no", "long").add("score", "double"))
+
+    @F.pandas_udf(result)
+    def assign(gt_no, gt_key, pl_no, pl_key, from_key, to_key, score):
+        return pd.Series([
+            greedy_match(*columns) for columns in zip(gt_no, gt_key, pl_no, pl_key, from_key, to_key, score)])
+
+    fields = ("g.no", "g.key", "p.no", "p.key", "e.gt_key", "e.pl_key", "e.score")
+    return spread(documents, "document_id").select("document_id", F.inline(assign(*map(F.col, fields))))
+
+
+def greedy_match(gt_no, gt_key, pl_no, pl_key, from_key, to_key, score) -> list[dict]:
+    """Truth items in order, each to its best free partner, the earlier one on a tie."""
+    free: dict[int, list[int]] = {}
+    for no, key in zip(reversed(pl_no), reversed(pl_key)):
+        free.setdefault(key, []).append(no)
+    partners: dict[int, list[tuple[int, float]]] = {}
+    for a, b, s in zip(from_key, to_key, score):
+        partners.setdefault(a, []).append((b, s))
+    out = []
+    for no, key in zip(gt_no, gt_key):
+        options = [(-s, free[b][-1], b) for b, s in partners.get(key, ()) if free.get(b)]
+        if options:
+            best, chosen, b = min(options)
+            free[b].pop()
+            out.append({"gt_no": int(no), "pl_no": int(chosen), "score": -best})
+    return out
 
 
 def _ratio(top: Column, bottom: Column) -> Column:

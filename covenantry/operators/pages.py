@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from covenantry.functions.coerce import (
     coerce_enum, domain_of, early_type_guess, heuristics_agree, relevance,
@@ -15,6 +15,7 @@ from covenantry.functions.text import (
 from covenantry.operators.rollups import sample_pages
 from covenantry.rules import LIMITS, RULES, RuleBase
 from covenantry.schema import DOCUMENT_TYPES, SECTION_LABELS
+from covenantry.session import spread
 
 
 def page_rows(texts: DataFrame, min_chars: int = LIMITS.min_page_chars) -> DataFrame:
@@ -264,35 +265,40 @@ def select_mmr_chunks(scored: DataFrame, k: int, weight: float = LIMITS.mmr_lamb
         "_n": F.count(F.lit(1)).over(W.partitionBy("document_id")),
         "_pos": F.row_number().over(_chunk_order()),
     })
-    big = sized.filter(F.col("_n") > k).select(
-        "document_id", "_pos", "relevance",
+    entry = F.struct(
+        (-F.col("relevance")).alias("order"), "_pos", F.col("relevance").alias("score"),
         F.transform(token_set("text"), lambda t: F.xxhash64(t)).alias("tokens"))
+    big = sized.filter(F.col("_n") > k).groupBy("document_id").agg(
+        F.sort_array(F.collect_list(entry)).alias("c"))
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["relevance", "_pos"], ascending=[False, True], kind="stable")
-        tokens = [set(t) for t in group["tokens"]]
-        scores = group["relevance"].tolist()
-        nearest = [0.0] * len(scores)
-        left, taken = list(range(len(scores))), []
-        while left and len(taken) < k:
-            best = left[0] if not taken else max(
-                left, key=lambda i: (weight * scores[i] - (1.0 - weight) * nearest[i], -i))
-            left.remove(best)
-            taken.append(best)
-            for i in left:
-                joint = len(tokens[i] & tokens[best])
-                union = len(tokens[i]) + len(tokens[best]) - joint
-                if joint:
-                    nearest[i] = max(nearest[i], joint / union)
-        return group.iloc[taken][["document_id", "_pos"]]
-
-    kind = big.schema["document_id"].dataType.simpleString()
-    chosen = big.groupBy("document_id").applyInPandas(choose, f"document_id {kind}, _pos int")
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def choose(positions, scores, tokens):
+        return pd.Series([mmr(p, s, t, k, weight) for p, s, t in zip(positions, scores, tokens)])
+
+    chosen = spread(big, "document_id").select(
+        "document_id", F.explode(choose(F.col("c._pos"), F.col("c.score"), F.col("c.tokens"))).alias("_pos"))
     small = sized.filter(F.col("_n") <= k)
     picked = sized.filter(F.col("_n") > k).join(chosen, ["document_id", "_pos"], "left_semi")
     return small.select(*picked.columns).unionByName(picked).drop("_n", "_pos")
 
 
+def mmr(positions, scores, tokens, k: int, weight: float) -> list[int]:
+    """Positions of k entries, given by falling relevance; ties go to the earlier entry."""
+    tokens = [set(t) for t in tokens]
+    nearest = [0.0] * len(tokens)
+    left, taken = list(range(len(tokens))), []
+    while left and len(taken) < k:
+        best = left[0] if not taken else max(
+            left, key=lambda i: (weight * scores[i] - (1.0 - weight) * nearest[i], -i))
+        left.remove(best)
+        taken.append(best)
+        for i in left:
+            joint = len(tokens[i] & tokens[best])
+            if joint:
+                nearest[i] = max(nearest[i], joint / (len(tokens[i]) + len(tokens[best]) - joint))
+    return [int(positions[i]) for i in taken]
+
+
 # --- groups and assembled text ---------------------------------------------------------
 
 def group_chunks(chunks: DataFrame, size: int = LIMITS.chunks_per_group) -> DataFrame:

@@ -53,3 +53,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, unlike a local one."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash rows over all shuffle partitions before a stage that is heavy per row.
+
+    A fixed number keeps AQE from folding few bytes of costly work into one task, and
+    hashing by row keys takes apart what one hot key had brought together.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *columns)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than there are cores; a large scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
