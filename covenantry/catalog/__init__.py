@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 FAMILIES = ("sources", "text", "rows", "joins", "rollups", "latest", "matching", "mutations",
-            "notices", "evaluation")
+            "notices", "evaluation", "flows")
 
 
 def query(name: str, oracle: str | None = None):

@@ -175,7 +175,7 @@ def clear(fx):
 
 
 @query("J8_mark_read", """
-select notification_id, case when user_id = 3 or notification_id % 4 = 0 and false then 'read' else status end as status,
+select notification_id, case when user_id = 3 then 'read' else status end as status,
   case when user_id = 3 then timestamp '2024-06-01 00:00:00' else read_at end as read_at from {notifications}""")
 def mark_read(fx):
     asked = fx.notifications.select(

@@ -14,27 +14,27 @@ from covenantry.session import spread
 def quote_pairs(truth: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """(document_id, gt_key, pl_key, score) of distinct quotes at or above the threshold.
 
-    Copies are folded before anything is paired.  Two exact bounds run before the UDF: the
-    LCS is at most the shorter token list, and at most the tokens of one side that occur on
-    the other; both are part of the join condition.
+    Copies are folded before anything is paired.  Two exact bounds are part of the join
+    condition and keep the rest from the UDF: the LCS is at most the shorter token list, and
+    at most a list less its distinct tokens that do not occur on the other side.
     """
-    def quotes(df: DataFrame, key: str) -> DataFrame:
+    def quotes(df: DataFrame, side: str) -> DataFrame:
         body = df.select("document_id", F.coalesce("quote", F.lit("")).alias("q")).distinct()
-        return body.select(
-            "document_id", F.xxhash64("q").alias(key), F.col("q").alias(key + "_q"),
-            word_tokens("q").alias(key + "_t"))
-
-    gt, pl = quotes(truth, "gt_key"), quotes(found, "pl_key")
-    m, n = F.size("gt_t"), F.size("pl_t")
-    gt, pl = gt.withColumnRenamed("gt_key_t", "gt_t"), pl.withColumnRenamed("pl_key_t", "pl_t")
-    by_length = (m > 0) & (n > 0) & ((2.0 * F.least(m, n)) / (m + n) >= threshold - 1e-9)
-    shared_gt = F.size(F.filter("gt_t", lambda t: F.array_contains("pl_t", t)))
-    shared_pl = F.size(F.filter("pl_t", lambda t: F.array_contains("gt_t", t)))
-    by_tokens = (2.0 * F.least(shared_gt, shared_pl)) / (m + n) >= threshold - 1e-9
-    pairs = spread(gt.join(pl, "document_id").filter(by_length).filter(by_tokens), "gt_key", "pl_key")
-    return pairs.select(
-        "document_id", "gt_key", "pl_key", rouge_l("gt_key_q", "pl_key_q").alias("score")
-    ).filter(F.col("score") > threshold - 1e-9)
+        words = body.select("*", word_tokens("q").alias("t"))
+        return words.select(
+            "document_id", F.xxhash64("q").alias(f"{side}_key"), F.col("q").alias(f"{side}_q"),
+            F.size("t").alias(f"{side}_n"), F.array_distinct("t").alias(f"{side}_set"))
+
+    m, n = F.col("gt_n"), F.col("pl_n")
+    low = threshold - 1e-9
+    by_length = (m > 0) & (n > 0) & ((2.0 * F.least(m, n)) / (m + n) >= low)
+    common = F.size(F.array_intersect("gt_set", "pl_set"))
+    reach = F.least(m - F.size("gt_set") + common, n - F.size("pl_set") + common)
+    pairs = quotes(truth, "gt").join(quotes(found, "pl"), "document_id").filter(
+        by_length & ((2.0 * reach) / (m + n) >= low))
+    return spread(pairs, "gt_key", "pl_key").select(
+        "document_id", "gt_key", "pl_key", rouge_l("gt_q", "pl_q").alias("score")
+    ).filter(F.col("score") > low)
 
 
 def match_items(truth: DataFrame, found: DataFrame, threshold: float = 0.5) -> DataFrame:
