@@ -78,27 +78,28 @@ def audit_rows(
     )
 
 
-def resolve_merges(merges: DataFrame, rounds: int = 32) -> DataFrame:
+def resolve_merges(merges: DataFrame) -> DataFrame:
     """source_id -> final target_id, following chains by pointer doubling.
 
-    ``merges``: source_id, target_id.  A self-merge is an error; a cycle never settles and
-    is one too.  Each round doubles the distance covered, so few rounds are needed.
+    ``merges``: source_id, target_id.  A self-merge is an error.  Each round doubles the
+    distance covered and its result is written, so n merges settle within log2(n) + 1
+    rounds; what has not settled by then runs in a circle and is an error too.
     """
-    from covenantry.session import cut_lineage
+    from covenantry.session import written
 
     if merges.filter(F.col("source_id") == F.col("target_id")).limit(1).count():
         raise ValueError("source and target entity must differ")
-    hops = cut_lineage(merges.select("source_id", "target_id").distinct())
-    for _ in range(rounds):
+    hops = written(merges.select("source_id", "target_id").distinct())
+    for _ in range(hops.count().bit_length() + 1):
         onward = hops.select(F.col("source_id").alias("target_id"), F.col("target_id").alias("_next"))
-        moved = hops.join(onward, "target_id", "left")
-        if not moved.filter(F.col("_next").isNotNull()).limit(1).count():
+        moved = hops.join(onward, "target_id", "left").select(
+            "source_id", F.coalesce("_next", "target_id").alias("target_id"),
+            F.col("_next").isNotNull().alias("_moved"))
+        moved = written(moved)
+        hops = moved.drop("_moved")
+        if not moved.filter("_moved").limit(1).count():
             return hops
-        hops = cut_lineage(moved.select(
-            "source_id", F.coalesce("_next", "target_id").alias("target_id")))
-        if hops.filter(F.col("source_id") == F.col("target_id")).limit(1).count():
-            raise ValueError("entity merges form a cycle")
-    raise ValueError("entity merges do not settle")
+    raise ValueError("entity merges form a cycle")
 
 
 def merge_entities(
@@ -122,7 +123,7 @@ def merge_entities(
 
     def repoint(df: DataFrame, column: str) -> DataFrame:
         to = merges.select(F.col("source_id").alias(column), F.col("target_id").alias("_to"))
-        return df.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+        return df.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).select(*df.columns)
 
     return entities_out, repoint(repoint(mentions, "entity_id"), "suggested_entity_id")
 
