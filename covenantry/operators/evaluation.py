@@ -11,6 +11,11 @@ from covenantry.schema import SEVERITY_RANK, rank_of
 from covenantry.session import spread
 
 
+def reported_risks(risks: DataFrame) -> DataFrame:
+    """Risks that count in an evaluation: those generated from contradictions are left out."""
+    return risks.filter(~F.coalesce("contradiction_flag", F.lit(False)))
+
+
 def quote_pairs(truth: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """(document_id, gt_key, pl_key, score) of distinct quotes at or above the threshold.
 

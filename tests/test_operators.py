@@ -24,19 +24,19 @@ def rows(df, *columns):
 # --- anchoring ----------------------------------------------------------------------
 
 PAGES = [
-    (1, 1, "The Contractor shall deliver all materials on time. Owner must approve all change orders in writing.", "pdf_text"),
+    (1, 1, "The Supplier shall bring every pallet before noon. Lessor must sign each amendment by hand.", "pdf_text"),
     (1, 2, "Payment is due within thirty days of the invoice date and carries interest thereafter.", "ocr"),
-    (1, 3, "The Contractor shall deliver all materials on time. Nothing else is written here at all.", "pdf_text"),
+    (1, 3, "The Supplier shall bring every pallet before noon. Nothing else is written here at all.", "pdf_text"),
     (2, 1, "A different document repeats: payment is due within thirty days.", "pdf_text"),
 ]
 QUOTES = {
-    1: "Contractor  shall deliver all materials",
-    2: "Owner must approve all change orders in writing. This sentence was never on any of the pages here.",
+    1: "Supplier  shall bring every pallet",
+    2: "Lessor must sign each amendment by hand. This sentence was never on any of the pages here.",
     3: "Payment is due within thirty dayz of the invoice date and carries intrest thereafter.",
     4: "Something wholly unrelated to the text, about penguins and the south pole.",
     5: "   ",
     6: "NOTE: nothing REMEDY: carries interest thereafter",
-    7: "Contractor shall deliver all materials",
+    7: "Supplier shall bring every pallet",
 }
 
 
@@ -54,7 +54,7 @@ def test_cascade(spark):
     assert {i: r.verification_method for i, r in got.items()} == {
         1: "exact", 2: "sentence", 3: "fuzzy", 4: None, 5: None, 6: None, 7: "exact"}
     assert (got[1].page_number, got[1].normalized_char_start) == (1, 4)
-    assert got[2].matched_quote == "Owner must approve all change orders in writing."
+    assert got[2].matched_quote == "Lessor must sign each amendment by hand."
     page = PAGES[1][2]
     start, end, ratio = every_window(QUOTES[3], page, 0.85, 0.98)
     assert (got[3].page_number, got[3].normalized_char_start, got[3].normalized_char_end) == (2, start, end)
