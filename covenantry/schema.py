@@ -91,8 +91,9 @@ OBLIGATION_ANSWER = T.ArrayType(T.StructType([
     T.StructField("obligation_type", T.StringType()),
     T.StructField("modality", T.StringType()),
     T.StructField("severity", T.StringType()),
-    T.StructField("due_date", T.StringType()),
-    T.StructField("due_rule", T.StringType()),
+    # Only strings count in these two, so their JSON type is kept.
+    T.StructField("due_date", T.VariantType()),
+    T.StructField("due_rule", T.VariantType()),
     T.StructField("responsible_party", T.StringType()),
 ]))
 

@@ -421,3 +421,21 @@ def test_normalising_failed_pages_leaves_them(spark):
     got = rows(P.normalize_pages(P.page_rows(texts)), "page_number", "normalized_text", "processing_status", "processing_error")
     assert got == [(1, "a b", "processed", None), (2, "", "failed", "pdf_page_parse_failed: broken")]
     assert normalize_text is not None
+
+
+def test_candidates_take_strings_only_as_due_fields(spark):
+    from covenantry.sources.answers import load_answers, obligation_candidates
+    raw = ('[{"quote": "a", "due_date": 20240101, "due_rule": 7}, {"quote": "b", "due_date": "2024-01-02", "due_rule": null},'
+           ' {"quote": " ", "due_date": "2024-01-02"}, {"quote": "c", "modality": "WILL", "due_rule": " soon "}]')
+    df = load_answers(spark.createDataFrame([(1, raw), (2, "[{'quote': 'x'}]")], "document_id long, raw string"))
+    assert rows(df.filter("error is not null"), "document_id") == [(2,)]
+    got = rows(obligation_candidates(df, "document_id"), "obligation_text", "due_kind", "due_date", "due_rule", "modality")
+    assert got == [("a", "none", None, None, "unknown"), ("b", "absolute", dt.date(2024, 1, 2), None, "unknown"),
+                   ("c", "relative", None, "soon", "unknown")]
+
+
+def test_export_row_cap(spark):
+    from covenantry.sources.exports import ExportTooLarge, check_row_cap
+    assert check_row_cap(spark.range(9), 9).count() == 9
+    with pytest.raises(ExportTooLarge):
+        check_row_cap(spark.range(10), 9)
