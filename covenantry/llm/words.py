@@ -151,3 +151,18 @@ def shingle_sets(found: Words, size: int, hashes: np.ndarray | None = None) -> l
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span of ``data``."""
+    up, down = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_HASH[data] * up[:-1], out=total[1:])
+    return _mix((total[end] - total[start]) * down[start])
+
+
+def gather(pool: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The slices ``pool[start:start+count]`` one behind the other."""
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(start - (ends - count), count) + np.arange(total)]
