@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from covenantry.llm.bpe import encode_digests
+from covenantry.llm import dac
 from covenantry.llm.radix_dedup import exact_groups
 from covenantry.llm.shared import documents
 
@@ -38,3 +39,9 @@ with n as (
 select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by norm) as group_size,
        doc_id = first_value(doc_id) over w as kept, sha256(norm) as text_sha256
 from n window w as (partition by norm order by cp desc, doc_id)"""
+
+
+@query
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, files = dac.write_ids(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return dac.read_digests(spark, folder, files)
