@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from covenantry.llm.bpe import encode_digests
 from covenantry.llm import dac
+from covenantry.llm.licenses import scan
 from covenantry.llm.radix_dedup import exact_groups
 from covenantry.llm.shared import documents
 
@@ -45,3 +46,8 @@ from n window w as (partition by norm order by cp desc, doc_id)"""
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, files = dac.write_ids(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return dac.read_digests(spark, folder, files)
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir))
