@@ -30,7 +30,7 @@ from covenantry.llm.words import gather, hash_spans, runs, text_buffers
 
 MAGIC = b"DACIDS01"
 BLOCK = 512
-FILE_TOKENS = 4 << 20
+FILE_TOKENS = 2 << 20
 BIT_COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -175,7 +175,7 @@ class PieceEncoder:
         self.pool = np.concatenate([self.pool, ids])
         self.bytes = np.concatenate([self.bytes, text])
 
-    def encode(self, column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def encode(self, column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Per run of texts: their number, all ids (each text closed by the end id), and bounds."""
         data, offsets = text_buffers(column)
         for i, j in runs(offsets, limit):
@@ -200,7 +200,7 @@ class PieceEncoder:
             yield j - i, np.insert(out, ends, self.end_id), np.append(0, ends + np.arange(1, j - i + 1))
 
 
-KEPT_PIECES = 2_000_000
+KEPT_PIECES = 1_000_000
 WHITE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 ASCII_WORD = np.array([b < 0x80 and chr(b).isalnum() for b in range(256)])
 STOP = np.isin(np.arange(256), [0x2C, 0x2E])
