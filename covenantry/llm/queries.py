@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from covenantry.llm.bpe import encode_digests
-from covenantry.llm import chat, dac
+from covenantry.llm import chat, dac, toxicity
 from covenantry.llm.licenses import scan
 from covenantry.llm.radix_dedup import exact_groups
 from covenantry.llm.shared import documents
@@ -42,6 +42,11 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
 from n window w as (partition by norm order by cp desc, doc_id)"""
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_check_conversation(chat.conversations(spark, sf_dir))
