@@ -22,8 +22,8 @@ from covenantry.llm.words import ALNUM, BASE, Words, _mix, hash_spans, spans
 
 BITS = 20
 SAMPLE = 16_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.5, 0.5
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 4.0, 0.5
 PREFIXES = (4, 6)
 THRESHOLD = 0.3
 
