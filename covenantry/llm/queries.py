@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from covenantry.llm.bpe import encode_digests
 from covenantry.llm import chat, dac, toxicity
+from covenantry.llm.decontaminate import contamination
 from covenantry.llm.licenses import scan
 from covenantry.llm.radix_dedup import exact_groups
 from covenantry.llm.shared import documents
@@ -47,6 +48,32 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+WORD_LIST = r"""regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+ORACLES["op4_decontamination"] = f"""
+with d as (select doc_id, {WORD_LIST} as w from documents),
+b as (select item_id::varchar as item, {WORD_LIST} as w from benchmark),
+i as (select item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as k from b where len(w) > 0),
+iw as (select distinct item, array_to_string(w[k:k + 12], ' ') as win, least(len(w), 13) as n from i),
+sizes as (select distinct n from iw),
+dp as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, sizes where len(w) >= n),
+h as (select p.doc_id, p.k, p.n, iw.item from (select doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') as win from dp) p
+      join iw on iw.win = p.win and iw.n = p.n),
+c as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(k, k + n)) as x from h) group by 1),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+      from (select distinct doc_id, item from h) group by 1)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
+from d left join c using (doc_id) left join t using (doc_id)"""
+
+
 @query
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_check_conversation(chat.conversations(spark, sf_dir))
