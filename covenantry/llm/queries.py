@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from covenantry.llm.bpe import encode_digests
-from covenantry.llm import chat, dac, toxicity
+from covenantry.llm import chat, dac, pii, toxicity
 from covenantry.llm.decontaminate import contamination
 from covenantry.llm.licenses import scan
 from covenantry.llm.radix_dedup import exact_groups
@@ -89,3 +89,8 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
