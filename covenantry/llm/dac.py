@@ -18,6 +18,7 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -153,11 +154,12 @@ class PieceEncoder:
         joined = [self.mark.join(b"" if i in marked else pieces[i] for i in range(k, min(k + 500, len(pieces)))).decode()
                   for k in range(0, len(pieces), 500)]
         ids, counts = [], []
-        for k, found in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            row = np.array(found.ids, np.uint32)
-            cut = np.flatnonzero(row == self.mark_id)
-            counts.append(np.diff(np.concatenate([[-1], cut, [len(row)]])) - 1)
-            ids.append(row[row != self.mark_id])
+        for k in range(0, len(joined), 16):  # the library's results are large, so few are held at a time
+            for found in self.tokenizer.encode_batch_fast(joined[k:k + 16], add_special_tokens=False):
+                row = np.array(found.ids, np.uint32)
+                cut = np.flatnonzero(row == self.mark_id)
+                counts.append(np.diff(np.concatenate([[-1], cut, [len(row)]])) - 1)
+                ids.append(row[row != self.mark_id])
         ids, counts = np.concatenate(ids), np.concatenate(counts)
         if marked:
             parts = np.split(ids, np.cumsum(counts)[:-1])
@@ -201,6 +203,14 @@ class PieceEncoder:
 
 
 KEPT_PIECES = 1_000_000
+
+
+@lru_cache(1)
+def loaded(path: str, end_id: int) -> PieceEncoder:
+    """One encoder, and its known pieces, for all tasks of a worker."""
+    return PieceEncoder(path, end_id)
+
+
 WHITE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 ASCII_WORD = np.array([b < 0x80 and chr(b).isalnum() for b in range(256)])
 STOP = np.isin(np.arange(256), [0x2C, 0x2E])
@@ -236,7 +246,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, out: str | None = None) -
     def work(batches):
         from pyspark import TaskContext
 
-        encoder, part, number = PieceEncoder(path, end_id), TaskContext.get().partitionId(), 0
+        encoder, part, number = loaded(path, end_id), TaskContext.get().partitionId(), 0
         store, root = fs.FileSystem.from_uri(out)
         store.create_dir(root)
         ids, docs_of, bounds, total = [], [], [np.zeros(1, np.int64)], 0
@@ -306,5 +316,7 @@ def _read(files: DataFrame, folder: str, schema: str, derive, name: str, count:
                     columns[name] = derive([reader.document(k) for k in some])
                     yield pa.RecordBatch.from_pydict(columns)
 
-    spread = files.select("file", "start").repartition("file")
+    n = files.count()
+    tasks = max(1, min(n, max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 64)))
+    spread = files.select("file", "start").repartition(tasks, "file")
     return spread.mapInArrow(work, schema)
