@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from covenantry.llm.bpe import encode_digests
-from covenantry.llm import chat, dac, pii, toxicity
+from covenantry.llm import chat, dac, lm_score, pii, toxicity
 from covenantry.llm.decontaminate import contamination
 from covenantry.llm.licenses import scan
 from covenantry.llm.radix_dedup import exact_groups
@@ -86,6 +86,11 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_digests(spark, folder, files)
 
 
+@query
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
