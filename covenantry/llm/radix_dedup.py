@@ -68,7 +68,10 @@ def split(todo: DataFrame, digit: int) -> DataFrame:
               .agg(F.count("*").alias("group_size"), F.min("row").alias("next"), F.max(ended).alias("ended"),
                    F.min_by(F.struct("doc_id", "row"), order).alias("keep"))
               .filter("group_size > 1"))
-    met = todo.join(groups, (todo["group"] == groups["of"]) & (head == groups["head"]), "left")
+    # ``ended`` follows from the other keys; as a key of the join alone it makes both sides be dealt
+    # for the join, whose hot groups adaptive execution can then split
+    same = (todo["group"] == groups["of"]) & (head == groups["head"]) & (ended == groups["ended"])
+    met = todo.join(groups, same, "left")
     single = F.col("group_size").isNull()
     is_open = ~single & ~F.col("ended")
     return met.select(
