@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from covenantry.llm.bpe import encode_digests
 from covenantry.llm import chat, dac, lm_score, pii, toxicity
 from covenantry.llm.decontaminate import contamination
+from covenantry.llm.jaccard_join import near_duplicates
 from covenantry.llm.licenses import scan
 from covenantry.llm.radix_dedup import exact_groups
 from covenantry.llm.shared import documents
@@ -74,6 +75,11 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
 from d left join c using (doc_id) left join t using (doc_id)"""
 
 
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 @query
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_check_conversation(chat.conversations(spark, sf_dir))

@@ -144,10 +144,10 @@ def shingle_sets(found: Words, size: int, hashes: np.ndarray | None = None) -> l
         if b - a >= size:
             sets.append(np.unique(shingles[a:b - size + 1]))
         elif b > a:
-            short = np.uint64(b - a)
+            short = np.array([b - a], np.uint64)
             for h in hashes[a:b]:
-                short = _mix(np.array([short * np.uint64(BASE) + h], np.uint64))[0]
-            sets.append(np.array([short], np.uint64))
+                short = _mix(short * np.uint64(BASE) + h)
+            sets.append(short)
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
