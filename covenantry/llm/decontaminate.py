@@ -55,11 +55,12 @@ def places(docs: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
+    """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, copy``.
 
     A word is hit inside any occurrence of a window; a row is contaminated when hits make up a
     twentieth of its words or more.  Null and empty texts have no words and no hits; items without
-    words or id are passed over; rows that repeat an id are judged by their own text.
+    words or id are passed over; rows that repeat an id are judged by their own text, of which
+    ``copy`` is a hash.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("copy"), text.alias("text"))
@@ -114,4 +115,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "n_words", n_hit.cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "copy")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not contaminated."""
+    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("gone"), "copy").distinct()
+    same = docs["doc_id"].eqNullSafe(bad["gone"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["copy"])
+    return docs.join(bad, same, "left_anti")

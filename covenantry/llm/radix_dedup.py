@@ -12,7 +12,7 @@ Only rows of open groups carry their text to the next round, in a table in the s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covenantry.llm.shared import written
@@ -80,3 +80,25 @@ def split(todo: DataFrame, digit: int) -> DataFrame:
         F.when(single, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (single | (F.col("row") == F.col("keep.row"))).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``exact_groups`` keeps.
+
+    Where an id repeats, rows of it may both stay and go; those few are told apart by their texts.
+    """
+    found = exact_groups(docs)
+    gone = found.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    stay = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    ids = found.groupBy("doc_id").agg(F.min("kept").alias("all"), F.max("kept").alias("any"))
+    mixed = ids.filter("any and not all").select(F.col("doc_id").alias("mixed"))
+    if mixed.isEmpty():
+        return stay
+    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = rows.join(mixed, F.col("row.doc_id").eqNullSafe(F.col("mixed")), "left_semi")
+    rows = rows.withColumn("sha", F.sha2(without_white_space(F.col("row.text")), 256))
+    rows = rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    longest = Window.partitionBy("row.doc_id", "sha").orderBy(F.desc(F.length("row.text")))
+    rows = rows.withColumn("place", F.row_number().over(longest)).filter("place = 1").select("row.*")
+    return stay.unionByName(rows)

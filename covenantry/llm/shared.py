@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +41,52 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def held_out(doc_id, of: int, remainder: int):
     """crc32 of the id as text, modulo ``of``, is ``remainder`` (false for a null id)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % of == remainder, F.lit(False))
+
+
+FILTER_BITS_MAX = 1 << 27
+
+
+class IdFilter:
+    """A broadcast bitmap of hashed ids, at most 16 MB whatever their number.
+
+    It never denies an id that it was built from; others pass by chance, ever more often as ids
+    outgrow it, so an exact join follows wherever it is used.
+    """
+
+    def __init__(self, ids: DataFrame, name: str) -> None:
+        spark, n, self.bits = ids.sparkSession, ids.count(), 1 << 20
+        while self.bits < 64 * n and self.bits < FILTER_BITS_MAX:
+            self.bits *= 2
+        at = self.place(name)
+        words = (ids.select(F.floor(at / 64).alias("word"),
+                            F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit"))
+                 .groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow())
+        bitmap = np.zeros(self.bits // 64, np.int64)
+        bitmap[words["word"].to_numpy()] = words["bit"].to_numpy()
+        self.bitmap = spark.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def place(self, name: str):
+        """The bit of an id column."""
+        return F.pmod(F.xxhash64(F.col(name)), F.lit(self.bits))
+
+    @staticmethod
+    def hits(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return ((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+    def maybe(self, name: str):
+        """Whether an id may be among those the filter was built from; only the id goes to Python."""
+        bitmap = self.bitmap
+
+        @F.pandas_udf("boolean")
+        def maybe(at: pd.Series) -> pd.Series:
+            return pd.Series(IdFilter.hits(bitmap.value, at.to_numpy()))
+
+        return maybe(self.place(name))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``ids.doc_id``; only rows that may go are shuffled."""
+    ids = ids.select(F.col("doc_id").alias("gone")).distinct()
+    may_go = IdFilter(ids, "gone").maybe("doc_id")
+    rest = docs.filter(may_go)
+    return docs.filter(~may_go).unionByName(rest.join(ids, rest["doc_id"] == ids["gone"], "left_anti"))

@@ -130,6 +130,19 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
     return weights, float(bias[0]) if len(bias) else -35.0
 
 
+def batch_scores(text: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
+    """Probability of each text of a batch."""
+    out = [np.zeros(0)]
+    for found in spans(text, ALNUM):
+        doc, place = feature_places(found)
+        heavy = np.flatnonzero(weights[place])
+        pairs = np.unique(doc[heavy] << BITS | place[heavy])
+        n = found.rows.stop - found.rows.start
+        total = np.bincount(pairs >> BITS, weights[pairs & ((1 << BITS) - 1)], minlength=n) + bias
+        out.append(np.where(total <= -35, 0.0, sigmoid(total)))
+    return np.concatenate(out)
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
@@ -137,23 +150,25 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     get the score of the bias alone; without any label every score is 0.  Repeated rows get
     equal scores.  A null id is not held out.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(labelled_sample(docs, labels)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels)))
 
     def work(batches):
-        weights, bias = model.value
         for batch in batches:
-            for found in spans(batch.column(1), ALNUM):
-                doc, place = feature_places(found)
-                heavy = np.flatnonzero(weights[place])
-                n = found.rows.stop - found.rows.start
-                pairs = np.unique(doc[heavy] << BITS | place[heavy])
-                total = np.bincount(pairs >> BITS, weights[pairs & ((1 << BITS) - 1)], minlength=n) + bias
-                value = np.where(total <= -35, 0.0, sigmoid(total))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(found.rows.start, n).cast(pa.int64()), pa.array(value, pa.float64())],
-                    names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(batch_scores(batch.column(1), *model.value))],
+                                             names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(work, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below the threshold; no row is moved."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels)))
+    at = docs.columns.index("text")
+
+    def work(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(batch_scores(batch.column(at), *model.value) < THRESHOLD))
+
+    return docs.mapInArrow(work, docs.schema)
