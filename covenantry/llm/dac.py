@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covenantry.llm.shared import new_path, written
-from covenantry.llm.words import gather, hash_spans, runs, text_buffers
+from covenantry.llm.words import gather, hash_spans, runs, text_buffers, within
 
 MAGIC = b"DACIDS01"
 BLOCK = 512
@@ -186,7 +186,7 @@ class PieceEncoder:
             length = end - start
             hashes = hash_spans(part, start, end)
             distinct, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            new = ~np.isin(distinct, self.hashes)
+            new = ~within(distinct, self.hashes)
             if len(self.hashes) + new.sum() > KEPT_PIECES:
                 self._forget()
                 new[:] = True

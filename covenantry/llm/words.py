@@ -166,3 +166,12 @@ def gather(pool: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray
     ends = np.cumsum(count)
     total = int(ends[-1]) if len(ends) else 0
     return pool[np.repeat(start - (ends - count), count) + np.arange(total)]
+
+
+def within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in an ascending array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(ordered, values)
+    at[at == len(ordered)] = 0
+    return ordered[at] == values
