@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covenantry.llm.shared import held_out
-from covenantry.llm.words import ALNUM, BASE, Words, _mix, hash_spans, spans
+from covenantry.llm.words import ALNUM, BASE, Words, _mix, distinct, hash_spans, spans
 
 BITS = 20
 SAMPLE = 16_000
@@ -90,7 +90,7 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
             for found in spans(batch.column(2), ALNUM):
                 doc, place = feature_places(found)
                 n = found.rows.stop - found.rows.start
-                pairs = np.unique(doc << BITS | place)
+                pairs = distinct(doc << BITS | place)
                 ends = np.searchsorted(pairs, np.arange(n + 1) << BITS)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(found.rows.start, n), batch.column(1).slice(found.rows.start, n),
@@ -136,7 +136,7 @@ def batch_scores(text: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray
     for found in spans(text, ALNUM):
         doc, place = feature_places(found)
         heavy = np.flatnonzero(weights[place])
-        pairs = np.unique(doc[heavy] << BITS | place[heavy])
+        pairs = distinct(doc[heavy] << BITS | place[heavy])
         n = found.rows.stop - found.rows.start
         total = np.bincount(pairs >> BITS, weights[pairs & ((1 << BITS) - 1)], minlength=n) + bias
         out.append(np.where(total <= -35, 0.0, sigmoid(total)))

@@ -142,7 +142,7 @@ def shingle_sets(found: Words, size: int, hashes: np.ndarray | None = None) -> l
     sets = []
     for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist(), strict=True):
         if b - a >= size:
-            sets.append(np.unique(shingles[a:b - size + 1]))
+            sets.append(distinct(shingles[a:b - size + 1]))
         elif b > a:
             short = np.array([b - a], np.uint64)
             for h in hashes[a:b]:
@@ -175,3 +175,9 @@ def within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     at = np.searchsorted(ordered, values)
     at[at == len(ordered)] = 0
     return ordered[at] == values
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
