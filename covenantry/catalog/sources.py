@@ -141,9 +141,11 @@ def raw_answers(fx):
 
 
 @query("A7_load_answers", """
-select document_id, document_id % 10 <> 9 as readable from {obligations} group by document_id""")
+select document_id, document_id % 10 <> 9 as readable, case when document_id % 10 <> 9 then cast(count(*) as int) end as entries
+from {obligations} group by document_id""")
 def load(fx):
-    return A.load_answers(raw_answers(fx)).select("document_id", F.col("error").isNull().alias("readable"))
+    return A.load_answers(raw_answers(fx)).select(
+        "document_id", F.col("error").isNull().alias("readable"), F.size(F.from_json("rows_json", "array<string>")).alias("entries"))
 
 
 @query("C11_obligation_candidates", """

@@ -1,6 +1,7 @@
 """Operators on small frames against brute force and pinned values."""
 
 import datetime as dt
+import json
 import random
 from difflib import SequenceMatcher
 
@@ -423,6 +424,24 @@ def test_normalising_failed_pages_leaves_them(spark):
     assert normalize_text is not None
 
 
+def test_answers_are_recovered(spark):
+    from covenantry.sources import answers as A
+    good = {
+        '[{"a": 1}, 3]': [{"a": 1}], '```json\n[{"a": 1}]\n```': [{"a": 1}], 'Sure: {"items": [{"a": "}"}]} done': [{"a": "}"}],
+        '{"note": 1, "risks": [{"b": 2}], "entities": []}': [{"b": 2}], '{"results": 4, "items": [{"c": 3}]}': [{"c": 3}],
+        'Output:\n```json\n[{"q": "[x]"}, "stray"]\n```\nThanks.': [{"q": "[x]"}], ' [] ': []}
+    bad = {"no list": A.UNREADABLE, '{"a": 1}': A.NO_LIST, "3": A.NO_ARRAY, '"text"': A.NO_ARRAY, None: A.EMPTY, " ": A.EMPTY,
+           "{bad json": A.UNREADABLE, 'x {"foo": [{"a": 1}]} y': A.NO_LIST}
+    texts = [*good, *bad]
+    df = A.load_answers(spark.createDataFrame(list(enumerate(texts)), "no long, raw string"))
+    for r in df.collect():
+        text = texts[r.no]
+        if text in good:
+            assert r.error is None and json.loads(r.rows_json) == good[text], text
+        else:
+            assert r.rows_json is None and r.error == bad[text], text
+
+
 def test_candidates_take_strings_only_as_due_fields(spark):
     from covenantry.sources.answers import load_answers, obligation_candidates
     raw = ('[{"quote": "a", "due_date": 20240101, "due_rule": 7}, {"quote": "b", "due_date": "2024-01-02", "due_rule": null},'

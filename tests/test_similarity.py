@@ -129,24 +129,6 @@ def test_mmr_takes_a_different_second_entry():
     assert mmr([5, 6, 7], [0.9, 0.8, 0.7], tokens, 2, 0.5) == [5, 7]
 
 
-@pytest.mark.parametrize("raw, rows", [
-    ('[{"a": 1}, 3]', [{"a": 1}]),
-    ('```json\n[{"a": 1}]\n```', [{"a": 1}]),
-    ('Sure: {"items": [{"a": 1}]} done', [{"a": 1}]),
-    ('{"note": 1, "risks": [{"b": 2}], "entities": []}', [{"b": 2}]),
-    ('{"results": 4, "items": [{"c": 3}]}', [{"c": 3}]),
-])
-def test_answer_rows_recovers(raw, rows):
-    found, error = M.answer_rows(raw)
-    assert error is None and json.loads(found) == rows
-
-
-@pytest.mark.parametrize("raw", ["no list", '{"a": 1}', "3", None, ""])
-def test_answer_rows_reports(raw):
-    found, error = M.answer_rows(raw)
-    assert found is None and error
-
-
 def test_section_slices():
     text = "1. Premises the unit on the third floor is let. 2. Deposit the lessee leaves two rents with the lessor."
     cuts = M.section_slices(text, 80)
