@@ -17,7 +17,7 @@ def ingest_files(fx):
     """The given files themselves, read as binary files and checked as uploads."""
     files = S.read_files(fx.spark, fx.folder)
     loads = S.uploads_from_files(files, asset_id=1, uploaded_by=2, mime_type=F.lit("application/octet-stream"))
-    return S.check_uploads(loads).select("source_name", "size", "sha256", "kind", "reason")
+    return S.check_uploads(loads, 500).select("source_name", "size", "sha256", "kind", "reason")
 
 
 @query("A1_check_uploads", """
@@ -69,7 +69,7 @@ select request_id, doc_id as upload_id, case when files > 100 then 'Maximum 100
   case when files <= 100 then coalesce(stored_id::varchar, 'new-' || first_id) end as document_id,
   files <= 100 and stored_id is null and first_id = doc_id as is_new from u""")
 def bulk(fx):
-    return S.ingest_bulk(_uploads(fx), _stored(fx), "upload_id").drop("source_name")
+    return S.ingest_bulk(_uploads(fx), _stored(fx), "upload_id", max_files=100).drop("source_name")
 
 
 @query("A4_text_pages", r"""

@@ -39,6 +39,7 @@ ELLIPSIS = "\u2026"
 # and do not combine, so texts made of them alone never leave the JVM.
 NFC_UNSTABLE = r"[^\u0000-\u02ff\u2002-\u206f\u20a0-\u20bf]"
 
+# Patterns of deadlines, statutes, amounts and line breaks.
 DEADLINE_RE = r"(?iU)\b(by|before|within|no later than|after|days?|weeks?|months?)\b"
 STATUTE_RE = r"(?iU)(§|C\.R\.S\.|U\.S\.C\.|statute|regulation)"
 MONETARY_RE = r"(?iU)(\$[\d,]+|dollar)"

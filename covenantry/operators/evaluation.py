@@ -182,8 +182,8 @@ def curate(items: DataFrame, statutory_pages: DataFrame, *, has_page_hint: bool)
     ``statutory_pages``: document_id, pages (text such as '5-13,43').  The page rule comes
     first and applies to obligations only, then the phrases.
     """
-    df = items.join(
-        statutory_pages.select("document_id", page_ranges("pages").alias("_pages")), "document_id", "left")
+    specs = statutory_pages.groupBy("document_id").agg(F.array_join(F.sort_array(F.collect_set("pages")), ",").alias("pages"))
+    df = items.join(specs.select("document_id", page_ranges("pages").alias("_pages")), "document_id", "left")
     by_phrase = F.concat(F.lit("pattern:"), statutory_pattern(F.coalesce("quote", F.lit(""))))
     if has_page_hint:
         on_page = F.coalesce(F.array_contains("_pages", F.col("page_hint")), F.lit(False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from covenantry.functions.keys import last_per_key, order_of
 from covenantry.schema import EDITABLE_OBLIGATION_FIELDS, EDITABLE_RISK_FIELDS
 
 
@@ -129,8 +130,8 @@ def merge_entities(
 
 
 def resolve_mentions(mentions: DataFrame, decisions: DataFrame, entities: DataFrame) -> DataFrame:
-    """``decisions``: mention_id, entity_id, resolved_by; unknown entities are ignored."""
-    valid = decisions.join(entities.select("entity_id"), "entity_id", "left_semi").select(
+    """``decisions``: mention_id, entity_id, resolved_by; unknown entities are ignored, the last decision counts."""
+    valid = last_per_key(decisions.join(entities.select("entity_id"), "entity_id", "left_semi"), "mention_id").select(
         "mention_id", F.col("entity_id").alias("_entity"), F.col("resolved_by").alias("_by"))
     hit = F.col("_entity").isNotNull()
     df = mentions.join(valid, "mention_id", "left")
@@ -225,10 +226,17 @@ def advance_status(documents: DataFrame, to: str) -> DataFrame:
 
 
 def update_users(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """``changes``: user_id, role, digest_enabled, digest_timezone; NULL means not given."""
+    """``changes``: user_id, role, digest_enabled, digest_timezone; NULL means not given.
+
+    Of several changes of one user each column takes the last that is given.  Changes with an
+    unknown time zone are left out.
+    """
     names = [c for c in ("role", "digest_enabled", "digest_timezone") if c in changes.columns]
-    df = users.join(
-        changes.select("user_id", *(F.col(c).alias("_" + c) for c in names)), "user_id", "left")
+    if "digest_timezone" in names:
+        changes = check_timezones(changes)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), order_of(changes, [c]))).alias("_" + c) for c in names]
+    given = changes.groupBy("user_id").agg(*last) if last else changes.select("user_id").distinct()
+    df = users.join(given, "user_id", "left")
     new = {c: F.coalesce("_" + c, c) if c in users.columns else F.col("_" + c) for c in names}
     return df.withColumns(new).drop(*("_" + c for c in names))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from covenantry.functions.keys import last_per_key
 from covenantry.functions.coerce import (
     coerce_enum, domain_of, early_type_guess, heuristics_agree, relevance,
 )
@@ -62,14 +63,14 @@ def apply_ocr(
 ) -> DataFrame:
     """Take recognised text for scanned or failed pages of PDF documents.
 
-    ``results``: document_id, page_number, ocr_text, ocr_error.
+    ``results``: document_id, page_number, ocr_text, ocr_error; of several for a page the last counts.
     """
     pdf = documents.filter(
         (F.col("mime_type") == "application/pdf") & (F.col("parse_status") != "failed")
     ).select("document_id", F.lit(True).alias("_pdf"))
     wanted = (F.length(strip("raw_text")) < min_chars) | (F.col("processing_status") == "failed")
     df = pages.join(pdf, "document_id", "left").join(
-        results.select("document_id", "page_number", "ocr_text", "ocr_error"),
+        last_per_key(results, "document_id", "page_number").select("document_id", "page_number", "ocr_text", "ocr_error"),
         ["document_id", "page_number"], "left",
     )
     tried = F.coalesce(F.col("_pdf"), F.lit(False)) & wanted
@@ -154,7 +155,7 @@ def gate_types(
 ) -> DataFrame:
     """Accept a proposed type only where the sample's keywords agree.
 
-    ``answers``: document_id, proposed_type, confidence.  Documents without an answer keep
+    ``answers``: document_id, proposed_type, confidence; the last of a document counts.  Documents without an answer keep
     their type.
     """
     blob = (
@@ -162,7 +163,7 @@ def gate_types(
         .agg(F.sort_array(F.collect_list(F.struct("sample_no", strip("sample_text").alias("t")))).alias("p"))
         .select("document_id", F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("blob"))
     )
-    asked = answers.select(
+    asked = last_per_key(answers, "document_id").select(
         "document_id", coerce_enum("proposed_type", DOCUMENT_TYPES, "unknown").alias("_type"),
         F.col("confidence").cast("double").alias("_confidence"), F.lit(True).alias("_asked"),
     )

@@ -160,6 +160,7 @@ RISK_TYPE_REMAP = {
     "inspection_failed_reinspection_required": "quality",
 }
 
+# Phrases that point to another document.
 EXTERNAL_REFERENCE_PHRASES = (
     "per exhibit", "as defined in", "pursuant to", "referenced in", "attached hereto",
 )
@@ -177,6 +178,7 @@ STATUTORY_PATTERNS: list[tuple[str, str]] = [
 ]
 
 
+# Points and bounds of the scoring rules.
 @dataclass(frozen=True)
 class ScoreRules:
     """Points per signal; the two names at the end have no configured value."""
@@ -203,6 +205,7 @@ class ScoreRules:
     keep_from: int = 50
 
 
+# Limits of the original service.  Those on pages, files and rows apply only where asked for.
 @dataclass(frozen=True)
 class Limits:
     max_pages: int = 500

@@ -53,15 +53,18 @@ EDITABLE_OBLIGATION_FIELDS = (
 )
 EDITABLE_RISK_FIELDS = ("risk_text", "risk_type", "severity")
 
+# Export columns in their order.
 OBLIGATION_EXPORT_COLUMNS = (
     "id", "asset_name", "document_filename", "obligation_type", "text", "severity",
     "system_confidence", "llm_quality_confidence", "status", "deadline",
     "evidence_quote", "evidence_page_number", "evidence_char_start",
     "evidence_char_end", "created_at", "last_reviewed_at", "reviewer_email",
 )
-RISK_EXPORT_COLUMNS = tuple(
-    "risk_type" if c == "obligation_type" else c
-    for c in OBLIGATION_EXPORT_COLUMNS if c != "deadline"
+RISK_EXPORT_COLUMNS = (
+    "id", "asset_name", "document_filename", "risk_type", "text", "severity",
+    "system_confidence", "llm_quality_confidence", "status",
+    "evidence_quote", "evidence_page_number", "evidence_char_start",
+    "evidence_char_end", "created_at", "last_reviewed_at", "reviewer_email",
 )
 
 

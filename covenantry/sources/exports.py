@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from covenantry.operators.listing import resolve_export_rows
-from covenantry.rules import LIMITS
 from covenantry.schema import OBLIGATION_EXPORT_COLUMNS, RISK_EXPORT_COLUMNS
 
 
@@ -38,9 +37,9 @@ def export_rows(
     return df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns))
 
 
-def check_row_cap(rows: DataFrame, max_rows: int = LIMITS.export_rows) -> DataFrame:
+def check_row_cap(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Refuse, before anything is resolved, a list that is longer than an export may be."""
-    if rows.limit(max_rows + 1).count() > max_rows:
+    if max_rows is not None and rows.limit(max_rows + 1).count() > max_rows:
         raise ExportTooLarge(f"Export exceeds {max_rows} rows; tighten filters")
     return rows
 

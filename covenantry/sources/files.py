@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from covenantry.rules import LIMITS
 
 UPLOAD_KEY = ["sha256", "asset_id"]
 
@@ -35,16 +34,17 @@ def upload_kind() -> Column:
     return F.when(pdf, "pdf").when(text, "text").otherwise("other")
 
 
-def check_uploads(uploads: DataFrame, max_pages: int = LIMITS.max_pages, *, pdf_only: bool = False) -> DataFrame:
+def check_uploads(uploads: DataFrame, max_pages: int | None = None, *, pdf_only: bool = False) -> DataFrame:
     """Uploads with their kind and the reason for which they are refused, if any."""
     df = uploads.withColumn("kind", upload_kind())
     wrong = F.col("kind") != "pdf" if pdf_only else F.col("kind") == "other"
     message = "Only PDF uploads are supported" if pdf_only else "Only PDF or .txt uploads are supported"
     pages = F.when(F.col("kind") == "pdf", F.col("total_pages"))
+    too_long = F.lit(False) if max_pages is None else pages > max_pages
     return df.withColumn(
         "reason",
         F.when(F.coalesce("size", F.lit(0)) == 0, "Empty upload").when(wrong, message)
-        .when(pages > max_pages, F.concat(
+        .when(too_long, F.concat(
             F.lit("Page count "), pages.cast("string"), F.lit(f" exceeds limit {max_pages}"))))
 
 
@@ -61,7 +61,7 @@ def ingest_new(uploads: DataFrame, documents: DataFrame, *order: str) -> DataFra
 
 
 def ingest_bulk(
-    uploads: DataFrame, documents: DataFrame, *order: str, max_files: int = LIMITS.bulk_files
+    uploads: DataFrame, documents: DataFrame, *order: str, max_files: int | None = None
 ) -> DataFrame:
     """Outcome per file of a bulk request: status, reason, document_id.
 
@@ -77,7 +77,7 @@ def ingest_bulk(
     df = (
         df.join(first, UPLOAD_KEY, "left").join(stored, UPLOAD_KEY, "left").join(size, "request_id")
     )
-    many = F.col("files") > max_files
+    many = F.lit(False) if max_files is None else F.col("files") > max_files
     reason = F.when(many, f"Maximum {max_files} files per request").otherwise(F.col("reason"))
     new_id = F.concat(F.lit("new-"), F.col("first_id").cast("string"))
     return df.select(
@@ -96,8 +96,8 @@ def read_text_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def check_requests(requests: DataFrame, models: DataFrame, documents: DataFrame) -> DataFrame:
     """Compliance requests with the reference they lack, if any; the model is looked up first."""
-    m = models.select("ifc_model_id", F.lit(True).alias("_m"))
-    d = documents.select(F.col("document_id").alias("spec_document_id"), F.lit(True).alias("_d"))
+    m = models.select("ifc_model_id").distinct().withColumn("_m", F.lit(True))
+    d = documents.select(F.col("document_id").alias("spec_document_id")).distinct().withColumn("_d", F.lit(True))
     return requests.join(m, "ifc_model_id", "left").join(d, "spec_document_id", "left").withColumn(
         "reason", F.when(F.col("_m").isNull(), "IFC model not found")
         .when(F.col("_d").isNull(), "Spec document not found")).drop("_m", "_d")

@@ -458,3 +458,60 @@ def test_export_row_cap(spark):
     assert check_row_cap(spark.range(9), 9).count() == 9
     with pytest.raises(ExportTooLarge):
         check_row_cap(spark.range(10), 9)
+
+
+def test_repeated_changes_count_once(spark):
+    from covenantry.operators import evaluation as E, mutations as M, pages as P
+    from covenantry.sources import files as S
+    def frame(rows, schema):
+        return spark.createDataFrame(rows, schema)
+    mentions = frame([(1, None, False, None)], "mention_id long, entity_id long, resolved boolean, resolved_by string")
+    decisions = frame([(1, 5, "a", 1), (1, 6, "b", 2), (1, 9, "c", 3)], "mention_id long, entity_id long, resolved_by string, change_no int")
+    entities = frame([(5,), (6,)], "entity_id long")
+    assert rows(M.resolve_mentions(mentions, decisions, entities), "entity_id", "resolved_by") == [(6, "b")]
+    users = frame([(1, "viewer", True, "UTC")], "user_id long, role string, digest_enabled boolean, digest_timezone string")
+    changes = frame([(1, "admin", None, None, 1), (1, None, False, "Europe/Paris", 2), (1, "editor", None, "No/Where", 3)],
+                    "user_id long, role string, digest_enabled boolean, digest_timezone string, change_no int")
+    assert rows(M.update_users(users, changes), "role", "digest_enabled", "digest_timezone") == [("admin", False, "Europe/Paris")]
+    asks = frame([(1, 1, 1)], "request_id long, ifc_model_id long, spec_document_id long")
+    twice = frame([(1,), (1,)], "ifc_model_id long")
+    assert S.check_requests(asks, twice, twice.withColumnRenamed("ifc_model_id", "document_id")).count() == 1
+    items = frame([(1, "x", 5), (1, "y", 9)], "document_id long, quote string, page_hint int")
+    specs = frame([(1, "5"), (1, "9-10"), (1, "5")], "document_id long, pages string")
+    assert rows(E.curate(items, specs, has_page_hint=True), "page_hint", "removed_reason") == [(5, "page_range"), (9, "page_range")]
+    texts = frame([(1, 1, None, "broken")], "document_id long, page_number int, raw_text string, error string")
+    scans = frame([(1, "application/pdf", "parsed")], "document_id long, mime_type string, parse_status string")
+    read = frame([(1, 1, "old", None, 1), (1, 1, "new", None, 2)], "document_id long, page_number int, ocr_text string, ocr_error string, answer_no int")
+    assert rows(P.apply_ocr(P.page_rows(texts), scans, read), "raw_text") == [("new",)]
+
+
+def test_caps_are_off_by_default(spark):
+    from covenantry.sources.exports import check_row_cap
+    from covenantry.sources.files import check_uploads
+    assert check_row_cap(spark.range(60_000)).count() == 60_000
+    big = spark.createDataFrame([("a.pdf", "application/pdf", 9, 9000)], "source_name string, mime_type string, size long, total_pages int")
+    assert rows(check_uploads(big), "reason") == [(None,)] and rows(check_uploads(big, 500), "reason") != [(None,)]
+
+
+def test_names_in_blocks_parted_by_single_letters_are_found(spark):
+    from covenantry.operators.entities import suggest_entities
+    rng = random.Random(3)
+    letters, needles, known = "abcdefghijklmnopqrstuvwxyz", {"abxcdyefghi"}, {"abcdefzghi"}
+    for m in range(2, 41):
+        for _ in range(4):
+            name = "".join(rng.sample(letters, min(m, 26))) + "".join(rng.choice(letters) for _ in range(max(0, m - 26)))
+            known.add(name)
+            for step in (3, 4, 5, 6, 8):
+                other = list(name)
+                for i in range(step - 1, m, step):
+                    other[i] = rng.choice(["#", "", other[i] + "#"])
+                needles.add("".join(other))
+    listed = sorted(known)
+    entities = spark.createDataFrame([(i, i, k, []) for i, k in enumerate(listed)],
+                                     "entity_id long, entity_no long, canonical_name string, aliases array<string>")
+    got = {r.needle: r.ratio for r in suggest_entities(spark.createDataFrame([(n,) for n in needles if n], "mentioned_name string"), entities).collect()}
+    for needle in needles - {""}:
+        best = max((SequenceMatcher(None, needle, k).ratio() for k in listed
+                    if 2 * min(len(needle), len(k)) >= 0.85 * (len(needle) + len(k))), default=0)
+        assert (needle in got) == (best >= 0.85), needle
+        assert best < 0.85 or abs(got[needle] - best) < 1e-9
