@@ -78,7 +78,7 @@ def test_search_finds_every_overlap():
     index = jaccard_join.TOccurrence(sets, 80)
     for i, a in enumerate(sets):
         want = {j for j, b in enumerate(sets) if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))}
-        assert set(index.search(a)) == want and i in want
+        assert set(index.search(a, np.zeros(80, bool)).tolist()) == want and i in want
 
 
 ITEMS = [(1, "One two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, "only Three words"),
