@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
 from covenantry.catalog import query
 from covenantry.operators import pages as P
 from covenantry.sources import answers as A, exports as X, files as S
+from covenantry.session import shared_folder
 
 
 @query("A1_ingest_files")
@@ -240,12 +240,11 @@ def export_risks(fx):
 
 
 @query("A9_csv_round_trip", """
-select obligation_id::varchar as id, obligation_text as text, status from {obligations} where status = 'confirmed'""")
+select obligation_id::varchar as id, obligation_text as text, status from {obligations}""")
 def round_trip(fx):
-    """Rows written as CSV into a scratch folder and read back."""
-    base = fx.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = os.path.join(base, f"export-{os.urandom(6).hex()}")
-    rows = fx.obligations.filter(F.col("status") == "confirmed").select(
+    """Rows written as CSV into the shared folder and read back."""
+    path = f"{shared_folder(fx.spark)}/export-{os.urandom(6).hex()}"
+    rows = fx.obligations.select(
         F.col("obligation_id").cast("string").alias("id"), F.col("obligation_text").alias("text"), "status", "created_at")
     X.write_csv(rows, path)
     return fx.spark.read.option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path).drop("created_at")
@@ -263,8 +262,7 @@ def client(fx):
 select document_id, item_no, quote, severity, page_hint from {truth}""")
 def ground_truth(fx):
     """Items written as one JSON document per document, read back."""
-    base = fx.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = os.path.join(base, f"truth-{os.urandom(6).hex()}")
+    path = f"{shared_folder(fx.spark)}/truth-{os.urandom(6).hex()}"
     none = F.lit(None).cast("string")
     items = fx.truth.select(
         "document_id", F.lit("obligation").alias("kind"), "item_no", "quote", none.alias("obligation_type"),

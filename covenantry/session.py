@@ -39,15 +39,26 @@ def local_session(app: str = "covenantry", cores: int | str = 8, **extra: str) -
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which every executor must share.
+
+    Only on a local master, as in tests, is a scratch folder set where none is configured.
+    """
+    name = spark.conf.get("spark.checkpoint.dir", None)
+    if name is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        name = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.conf.set("spark.checkpoint.dir", name)
+    return name.rstrip("/")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session; a scratch one where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = configured or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return spark.sparkContext.getCheckpointDir() or shared_folder(spark)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -73,9 +84,3 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(tasks, *columns)
-
-
-def widen(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than there are cores; a large scan stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

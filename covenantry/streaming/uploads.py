@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from covenantry.functions.text import sha256_text
@@ -23,10 +24,15 @@ def write_batch(df: DataFrame, root: str, table: str, batch: int) -> None:
 
 def stored(spark: SparkSession, root: str, table: str, like: DataFrame, before: int) -> DataFrame:
     """Rows of earlier batches; an empty frame of the same shape where there are none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if before == 0:
+        return like.limit(0)
+    try:
+        schema = T.StructType([*like.schema.fields, T.StructField("batch", T.IntegerType())])
+        rows = spark.read.schema(schema).parquet(f"{root}/{table}")
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
         return like.limit(0)
-    rows = spark.read.schema(like.schema.add("batch", "int")).parquet(f"{root}/{table}")
     return rows.filter(F.col("batch") < before).drop("batch")
 
 
@@ -67,10 +73,23 @@ def notify_batch(root: str, assignments: DataFrame, risks: DataFrame, *, email_e
     return run
 
 
-def distinct_uploads(uploads: DataFrame, event_time: str, within: str = "1 hour") -> DataFrame:
-    """Uploads without repeats of (sha256, asset_id) inside the watermark.
+def distinct_batch(root: str) -> Callable[[DataFrame, int], None]:
+    """Keep the keys of a batch that no earlier batch has brought."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        keys = batch.select(*UPLOAD_KEY).distinct()
+        known = stored(batch.sparkSession, root, "upload_keys", keys, batch_id)
+        write_batch(keys.join(known, UPLOAD_KEY, "left_anti"), root, "upload_keys", batch_id)
+
+    return run
+
 
-    State is held for the watermark only; repeats from before it are caught by the anti
-    join of :func:`ingest_batch`.
+def distinct_uploads(
+    uploads: DataFrame, root: str, checkpoint: str, *, available_now: bool = False
+) -> StreamingQuery:
+    """Each (sha256, asset_id) once, in ``upload_keys``, however late it arrives.
+
+    The stored keys are the state, so there is no watermark behind which a first upload would be
+    lost, and none is held in memory.  A batch that is repeated replaces its own partition.
     """
-    return uploads.withWatermark(event_time, within).dropDuplicatesWithinWatermark(UPLOAD_KEY)
+    writer = uploads.writeStream.foreachBatch(distinct_batch(root)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

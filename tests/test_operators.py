@@ -515,3 +515,20 @@ def test_names_in_blocks_parted_by_single_letters_are_found(spark):
                     if 2 * min(len(needle), len(k)) >= 0.85 * (len(needle) + len(k))), default=0)
         assert (needle in got) == (best >= 0.85), needle
         assert best < 0.85 or abs(got[needle] - best) < 1e-9
+
+
+def test_late_first_uploads_survive(spark, tmp_path):
+    from covenantry.streaming.uploads import distinct_uploads
+    schema = "sha256 string, asset_id string, uploaded_at timestamp"
+    start = dt.datetime(2024, 1, 1, 12)
+    folder, batches = str(tmp_path / "in"), [[("a", "x", 0), ("b", "x", 0), ("a", "x", 1)], [("c", "x", -4), ("a", "x", -9), ("a", "y", -9)]]
+    for batch in batches:
+        spark.createDataFrame([(s, a, start + dt.timedelta(hours=h)) for s, a, h in batch], schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        distinct_uploads(stream, str(tmp_path / "out"), str(tmp_path / "state"), available_now=True).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out/upload_keys")), "sha256", "asset_id") == [("a", "x"), ("a", "y"), ("b", "x"), ("c", "x")]
+
+
+def test_call_numbers_do_not_overflow(spark):
+    from covenantry.plans.flow import _numbered
+    assert rows(_numbered(spark.createDataFrame([(4000, 7)], "call_no int, entry_no int")), "candidate_no") == [(4_000_000_007,)]
