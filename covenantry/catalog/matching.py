@@ -196,8 +196,8 @@ def blocks(fx):
 
 @query("G12_context_digest", _BLOCKS + r"""
 , q as (select document_id * 100000 + page_number as evidence_id, document_id, trim(regexp_replace(raw_text, '\s+', ' ', 'g')) as q
-        from {pages_line} where length(raw_text) >= 30),
-e as (select evidence_id, document_id, trim(list_extract(string_split(q, '. '), 1)) as q from q),
+        from {pages_line} where raw_text <> ''),
+e as (select evidence_id, document_id, q from q),
 n as (select document_id, block_no, block, lag(block) over w as before, lead(block) over w as after from blocks
       window w as (partition by document_id order by block_no)),
 h as (select e.evidence_id, e.q, n.before, n.after, row_number() over (partition by e.evidence_id order by n.block_no) as r
@@ -211,7 +211,7 @@ k as (select * from c where not (a <> '' and b <> '' and (contains(a, b) or cont
       and len(string_split(t, ' ')) >= 5 and not regexp_matches(t, '[(-]$') and not (regexp_matches(t, '(?i)^\(?eff\.\s*[0-9]') and len(string_split(t, ' ')) < 7))
 select e.evidence_id, cast(count(distinct k.t) as int) as bullets from e left join k on k.evidence_id = e.evidence_id group by e.evidence_id""")
 def digest(fx):
-    q = F.trim(F.substring_index(collapse_js("quote"), ". ", 1))
+    q = collapse_js("quote")
     proof = fx.truth.select(
         (F.col("document_id") * 100000 + F.col("item_no")).alias("evidence_id"), "document_id",
         F.lit(1).alias("page_number"), q.alias("quote"))

@@ -193,11 +193,11 @@ select document_id * 100000 + page_number as item_id, document_id, page_number a
   case page_number % 4 when 1 then concat(raw_text, ' NOTE: ', reverse(raw_text))
     when 2 then replace(raw_text, 'tion', 'tlon') else raw_text end as quote,
   timestamp '2024-01-01 00:00:00' as created_at
-from {{pages_line}} where length(raw_text) >= 30""",
+from {{pages_line}} where raw_text <> ''""",
     "truth": """
 select document_id, cast(page_number as bigint) as item_no, raw_text as quote, cast(page_number as int) as page_hint,
   case page_number % 4 when 0 then 'low' when 1 then 'medium' when 2 then 'high' else 'critical' end as severity
-from {pages_line} where length(raw_text) >= 30""",
+from {pages_line} where raw_text <> ''""",
 }
 
 
@@ -275,7 +275,7 @@ class Fixtures:
         raw, n = F.col("raw_text"), F.col("page_number") % 4
         quote = F.when(n == 1, F.concat(raw, F.lit(" NOTE: "), F.reverse(raw))).when(
             n == 2, F.replace(raw, F.lit("tion"), F.lit("tlon"))).otherwise(raw)
-        return self.pages_line.filter(F.length("raw_text") >= 30).select(
+        return self.pages_line.filter(F.col("raw_text") != "").select(
             (F.col("document_id") * 100000 + F.col("page_number")).alias("item_id"), "document_id",
             F.col("page_number").alias("line_no"), quote.alias("quote"),
             F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"))
@@ -283,6 +283,6 @@ class Fixtures:
     def view_truth(self) -> DataFrame:
         n = F.col("page_number") % 4
         severity = F.when(n == 0, "low").when(n == 1, "medium").when(n == 2, "high").otherwise("critical")
-        return self.pages_line.filter(F.length("raw_text") >= 30).select(
+        return self.pages_line.filter(F.col("raw_text") != "").select(
             "document_id", F.col("page_number").cast("long").alias("item_no"), F.col("raw_text").alias("quote"),
             F.col("page_number").cast("int").alias("page_hint"), severity.alias("severity"))
