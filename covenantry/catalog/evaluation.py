@@ -23,6 +23,12 @@ def match(fx):
     return V.match_items(fx.truth, extracted(fx))
 
 
+@query("N1_unmatched_items")
+def unmatched(fx):
+    found = extracted(fx)
+    return V.unmatched_items(fx.truth, found, V.match_items(fx.truth, found))
+
+
 _COUNTS = """
 with c as (select document_id, cast(count(*) filter (where status = 'confirmed') as bigint) as tp, cast(count(*) filter (where status = 'rejected') as bigint) as fp,
              cast(count(*) filter (where status = 'needs_review') as bigint) as fn from {obligations} group by document_id),

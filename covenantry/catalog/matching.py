@@ -90,6 +90,13 @@ def dedupe_lines(fx):
     ).select("document_id", "item_no", "severity")
 
 
+@query("G7_removed_counts")
+def removed(fx):
+    lines = fx.truth.withColumn("risk_type", F.lit("quality"))
+    kept = D.dedupe_candidates(lines, text="quote", order="item_no", richness=D.risk_richness(), due_date=None, party=None)
+    return D.removed_counts(lines, kept)
+
+
 @query("G7_exact_copies", """
 with q as (select document_id, item_no, lower(NORM(quote)) as q from {truth})
 select document_id, min(item_no) as item_no from q where q <> '' group by document_id, q""".replace(

@@ -32,6 +32,15 @@ def reviews(fx):
         "obligation_id", "status", "reviewer_confidence", "severity", "due_rule")
 
 
+@query("J1_apply_risk_reviews", """
+select r.risk_id, case when v.decision = 'reject' then 'rejected' else 'confirmed' end as status, v.reviewer_confidence,
+  case when v.decision = 'edit_approve' and v.edit_severity is not null then v.edit_severity else r.severity end as severity, r.risk_text
+from {risks} r join {reviews} v on v.review_id = r.risk_id""")
+def risk_reviews(fx):
+    found = reviews_with_edits(fx).withColumn("risk_id", F.col("review_id"))
+    return M.apply_risk_reviews(fx.risks, found).select("risk_id", "status", "reviewer_confidence", "severity", "risk_text")
+
+
 @query("J1_review_audit", """
 select 'obligations' as table_name, obligation_id as record_id, 'update' as action,
   '{"status":"' || case when decision = 'reject' then 'rejected' else 'confirmed' end || '","review_decision":"' || decision || '","reviewer_id":"' || reviewer_id || '"}' as new_values,

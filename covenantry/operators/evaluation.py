@@ -76,6 +76,16 @@ def match_items(truth: DataFrame, found: DataFrame, threshold: float = 0.5) -> D
     return spread(documents, "document_id").select("document_id", F.inline(assign(*map(F.col, fields))))
 
 
+def unmatched_items(truth: DataFrame, found: DataFrame, matched: DataFrame) -> DataFrame:
+    """(document_id, item_no, quote, outcome): truth items without a partner are missed, found items spurious."""
+    def rest(items: DataFrame, number: str, outcome: str) -> DataFrame:
+        taken = matched.select("document_id", F.col(number).alias("item_no"))
+        return items.join(taken, ["document_id", "item_no"], "left_anti").select(
+            "document_id", F.col("item_no").cast("long").alias("item_no"), "quote", F.lit(outcome).alias("outcome"))
+
+    return rest(truth, "gt_no", "missed").unionByName(rest(found, "pl_no", "spurious"))
+
+
 def greedy_match(gt_no, gt_key, pl_no, pl_key, from_key, to_key, score) -> list[dict]:
     """Truth items in order, each to its best free partner, the earlier one on a tie."""
     free: dict[int, list[int]] = {}

@@ -532,3 +532,14 @@ def test_late_first_uploads_survive(spark, tmp_path):
 def test_call_numbers_do_not_overflow(spark):
     from covenantry.plans.flow import _numbered
     assert rows(_numbered(spark.createDataFrame([(4000, 7)], "call_no int, entry_no int")), "candidate_no") == [(4_000_000_007,)]
+
+
+def test_missed_spurious_and_removed(spark):
+    from covenantry.operators import dedup as D, evaluation as V
+    def items(*found):
+        return spark.createDataFrame([(1, n, q) for n, q in found], "document_id long, item_no long, quote string")
+    truth, found = items((1, "the tenant shall pay rent"), (2, "nothing alike here")), items((7, "the tenant shall pay rent"), (8, "other words"))
+    rest = V.unmatched_items(truth, found, V.match_items(truth, found))
+    assert rows(rest, "item_no", "outcome") == [(2, "missed"), (8, "spurious")]
+    kept = items((1, "a"))
+    assert rows(D.removed_counts(items((1, "a"), (2, "a"), (3, "b")), kept), "document_id", "candidates", "removed") == [(1, 3, 2)]
