@@ -80,6 +80,21 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+ORACLES["op5_jaccard_join"] = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+p as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as k from d where len(w) > 0),
+s as (select distinct doc_id, array_to_string(w[k:k + 3], ' ') as shingle from p),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as hits from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+e as (select c.a, c.b from c join n x on x.doc_id = c.a join n y on y.doc_id = c.b where 100 * hits >= 85 * (x.n + y.n - hits)),
+r as (select doc_id as id, doc_id as root from d union select e.b, r.root from r join e on e.a = r.id)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id
+from d left join n on n.doc_id = d.doc_id join (select id, min(root) as component_id from r group by id) m on m.id = d.doc_id"""
+
+
 @query
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_check_conversation(chat.conversations(spark, sf_dir))
