@@ -85,6 +85,19 @@ def test_base_scores(spark, monkeypatch):
     assert sorted(map(str, got)) == sorted(str((*w[:5], round(w[5], 6))) for w in base_of(rows + more))
 
 
+def test_scores_do_not_depend_on_the_broadcast_words(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "STEPS", 20)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"n{int(rng.paretovariate(0.5)) % 200}" for _ in range(rng.randint(0, 40)))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for known in (20, 200_000):
+        monkeypatch.setattr(lm_score, "KNOWN", known)
+        found.append(dict(lm_score.score(docs, BYTES).select("doc_id", "score").collect()))
+    assert len(found[0]) == len(rows) and found[0].keys() == found[1].keys()
+    assert all(abs(found[0][i] - found[1][i]) < 1e-6 for i in found[0])
+
+
 def test_scores_of_nothing(spark):
     assert lm_score.score(brute.empty(spark), BYTES).count() == 0
 
