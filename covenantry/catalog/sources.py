@@ -134,7 +134,9 @@ def raw_answers(fx):
     n, text = F.col("document_id") % 10, F.col("body")
     return fx.obligations.groupBy("document_id").agg(body.alias("body")).select(
         "document_id",
-        F.when(n == 3, F.concat(F.lit("```json\n"), text, F.lit("\n```")))
+        F.when(n == 1, F.concat(F.lit("[see note] "), text))
+        .when(n == 2, F.replace(text, F.lit('{"quote":'), F.lit('{"quote":"earlier","quote":')))
+        .when(n == 3, F.concat(F.lit("```json\n"), text, F.lit("\n```")))
         .when(n == 5, F.concat(F.lit("Here is the list: "), text, F.lit(" as asked")))
         .when(n == 7, F.concat(F.lit('{"note": 1, "items": '), text, F.lit("}")))
         .when(n == 9, "no list, sorry").otherwise(text).alias("raw"))

@@ -442,6 +442,19 @@ def test_answers_are_recovered(spark):
             assert r.rows_json is None and r.error == bad[text], text
 
 
+def test_answers_take_the_first_value_that_decodes(spark):
+    from covenantry.sources import answers as A
+    good = {
+        '[see note] [{"a":1}]': [{"a": 1}], '[{"a":1,"a":2},{"b":1}]': [{"a": 2}, {"b": 1}],
+        'As asked [1: {x}]: [{"a":"[","a":"}"}] and {"b": [2]}': [{"a": "}"}], '[2] before [{"a":1}]': [],
+        '{oops {"items": [{"a": 1}]} [{"b": 2}]': [{"a": 1}]}
+    texts = [*good, '[{"a":1}, {"b"']
+    got = {r.no: r for r in A.load_answers(spark.createDataFrame(list(enumerate(texts)), "no long, raw string")).collect()}
+    for i, text in enumerate(good):
+        assert got[i].error is None and json.loads(got[i].rows_json) == good[text], text
+    assert got[len(good)].error == A.NO_LIST  # as a decoder finds it: the list does not close, its first entry does
+
+
 def test_candidates_take_strings_only_as_due_fields(spark):
     from covenantry.sources.answers import load_answers, obligation_candidates
     raw = ('[{"quote": "a", "due_date": 20240101, "due_rule": 7}, {"quote": "b", "due_date": "2024-01-02", "due_rule": null},'
