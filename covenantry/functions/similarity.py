@@ -95,23 +95,26 @@ def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
 # --- fuzzy windows -----------------------------------------------------------------
 
 def best_window(
-    quote: str, page: str, floor: float, stop: float
+    quote: str, page: str, floor: float, stop: float, likeness: float | None = 0.3
 ) -> tuple[int, int, float] | None:
     """The window of the page most similar to the quote, or None below the floor.
 
     The scan takes window sizes of 80-120 % of the quote in about ten steps and
     moves by a quarter of the size; a later window must be strictly better, and
     one at ``stop`` or above ends the scan.  Windows whose LCS bound cannot beat
-    the best so far are passed over, which cannot change the outcome.
+    the best so far are passed over, which cannot change the outcome.  ``likeness`` passes
+    over the whole page as the original does; None reads every page.
     """
     m, n = len(quote), len(page)
     if not m or not n:
         return None
     shared = sum((Counter(quote) & Counter(page)).values())
-    if 2.0 * shared / (m + n) < 0.3:
+    if likeness is not None and 2.0 * shared / (m + n) < likeness:
         return None
     floor = min(floor, stop)
     low, high = max(1, int(m * 0.8)), int(m * 1.2)
+    if 2.0 * min(shared, high) / (m + min(max(shared, low), high)) < floor:
+        return None  # no window size can reach the floor
     reach = min(lcs_length(quote, page), shared)
     best, best_ratio = None, 0.0
     for size in range(low, high + 1, max(1, (high - low) // 10)):
@@ -131,10 +134,10 @@ def best_window(
     return best if best_ratio >= floor else None
 
 
-def fuzzy_window(quote: Column, page: Column, floor: float, stop: float) -> Column:
+def fuzzy_window(quote: Column, page: Column, floor: float, stop: float, likeness: float | None = None) -> Column:
     @F.pandas_udf(WINDOW)
     def scan(quotes: pd.Series, pages: pd.Series) -> pd.DataFrame:
-        rows = [best_window(q or "", p or "", floor, stop) for q, p in zip(quotes, pages)]
+        rows = [best_window(q or "", p or "", floor, stop, likeness) for q, p in zip(quotes, pages)]
         found = pd.DataFrame(
             [r or (None, None, None) for r in rows], columns=["start_at", "end_at", "ratio"]
         )

@@ -96,6 +96,25 @@ def test_fuzzy_scan_over_pages_equals_ordered_scan(spark):
     assert got == {i: w for i, w in want.items() if w}
 
 
+def test_quotes_are_sought_on_long_pages(spark):
+    rng = random.Random(8)
+    quote = "Payment is due within thirty days of the invoice date and carries interest thereafter."
+    page = f"{words(rng, 400)} {quote.replace('thirty', 'thlrty')} {words(rng, 400)}"
+    frame = spark.createDataFrame([(1, 1, page, "pdf_text")], "document_id long, page_number int, normalized_text string, text_source string")
+    asked = quote_frame(spark, {1: quote})
+
+    def windows():
+        for size in range(int(len(quote) * 0.8), int(len(quote) * 1.2) + 1, max(1, (int(len(quote) * 1.2) - int(len(quote) * 0.8)) // 10)):
+            for start in range(0, len(page) - size + 1, max(1, size // 4)):
+                yield SequenceMatcher(None, quote, page[start:start + size]).ratio(), start, start + size
+
+    top = max(windows(), key=lambda w: w[0])
+    found = A.anchor(asked, frame, threshold=0.6).first()
+    assert (found.verification_method, found.normalized_char_start, found.normalized_char_end) == ("fuzzy", *top[1:])
+    assert found.fuzzy_similarity == pytest.approx(top[0])
+    assert A.anchor(asked, frame, threshold=0.6, likeness=0.3).first().verification_method is None
+
+
 def test_evidence_key_goes_to_the_first_item(spark):
     verified, evidence = A.verify_items(quote_frame(spark), page_frame(spark))
     state = {r.item_id: (r.status, r.deduped) for r in verified.collect()}
