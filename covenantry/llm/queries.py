@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from covenantry.llm.bpe import encode_digests
-from covenantry.llm import chat, dac, lm_score, pii, toxicity
+from covenantry.llm import chat, dac, lm_score, merkle, pii, toxicity
 from covenantry.llm.decontaminate import contamination
 from covenantry.llm.jaccard_join import near_duplicates
 from covenantry.llm.licenses import scan
@@ -120,3 +120,61 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(documents(spark, sf_dir))
+
+
+# CRC-32 of an id: the sum over its digits, eight halvings each
+CRC_OF_ID = """xor(4294967295, list_reduce(
+  list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+  lambda crc, byte: list_reduce([0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), xor(crc, byte)),
+  4294967295::bigint))"""
+ORACLES["op13_merkle"] = f"""
+with recursive d as (
+  select *, coalesce(':' || source, '-') as tree, case when {CRC_OF_ID} % 2 = 0 then replace(text, chr(10), '') else text end as later
+  from documents),
+f as (
+  select doc_id, tree, [doc_id::varchar, source, lang, n_chars::varchar] as fields, text, later from d),
+e as (
+  select doc_id, tree, sha256(array_to_string(list_transform(list_append(fields, text),
+           lambda x: case when x is null then '-' else strlen(x) || ':' || x end), '')) as leaf,
+         sha256(array_to_string(list_transform(list_append(fields, later),
+           lambda x: case when x is null then '-' else strlen(x) || ':' || x end), '')) as later from f),
+l as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by tree) as n from e),
+t as (
+  select tree, 0 as lvl, place, leaf as digest, n from l
+  union all
+  select tree, lvl + 1, place // 3, sha256(string_agg(digest, '' order by place)), any_value((n + 2) // 3)
+  from t where n > 1 group by tree, lvl, place // 3),
+s as (
+  select tree, digest as subroot, row_number() over (order by tree) - 1 as place, count(*) over () as n from t where n = 1),
+c as (
+  select 0 as lvl, place, subroot as digest, n from s
+  union all
+  select lvl + 1, place // 3, sha256(string_agg(digest, '' order by place)), any_value((n + 2) // 3)
+  from c where n > 1 group by lvl, place // 3),
+p as (
+  select l.tree, l.place, t.lvl, 0 as crown, coalesce(string_agg(x.digest, '' order by x.place) filter (x.place < t.place), '') as before,
+         coalesce(string_agg(x.digest, '' order by x.place) filter (x.place > t.place), '') as after
+  from l join t on t.tree = l.tree and t.place = l.place // (3 ** t.lvl)::bigint and t.n > 1
+  join t x on x.tree = t.tree and x.lvl = t.lvl and x.place // 3 = t.place // 3 group by all),
+q as (
+  select s.tree, c.lvl, coalesce(string_agg(x.digest, '' order by x.place) filter (x.place < c.place), '') as before,
+         coalesce(string_agg(x.digest, '' order by x.place) filter (x.place > c.place), '') as after
+  from s join c on c.place = s.place // (3 ** c.lvl)::bigint and c.n > 1
+  join c x on x.lvl = c.lvl and x.place // 3 = c.place // 3 group by s.tree, c.lvl, c.place),
+w as (
+  select tree, place, list(before || '|' || after order by lvl) as steps from p group by tree, place),
+v as (
+  select tree, list(before || '|' || after order by lvl) as steps from q group by tree),
+o as (
+  select l.doc_id, l.leaf, l.later, s.subroot, list_concat(coalesce(w.steps, []), coalesce(v.steps, [])) as steps
+  from l join s on s.tree = l.tree left join w on w.tree = l.tree and w.place = l.place left join v on v.tree = l.tree),
+r as (
+  select doc_id, leaf, subroot, (select digest from c where n = 1) as root, sha256(replace(array_to_string(steps, ''), '|', '')) as proof_sha256,
+         list_reduce(list_prepend(later, steps), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) as folded_root from o)
+select *, folded_root = root as verified from r"""
