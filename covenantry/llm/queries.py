@@ -14,6 +14,7 @@ from covenantry.llm.jaccard_join import near_duplicates
 from covenantry.llm.licenses import scan
 from covenantry.llm.radix_dedup import exact_groups
 from covenantry.llm.shared import documents
+from covenantry.llm.spelling import variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,16 +123,53 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+# CRC-32 of a list of bytes: eight halvings each
+CRC_OF_BYTES = """xor(4294967295, list_reduce({bytes},
+  lambda crc, byte: list_reduce([0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), xor(crc, byte)),
+  4294967295::bigint))"""
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(documents(spark, sf_dir))
+
+
+CRC_OF_RUN = CRC_OF_BYTES.format(bytes="""list_transform(range(0, length(hx), 2),
+    lambda i: (16 * (strpos('0123456789ABCDEF', hx[i + 1]) - 1) + strpos('0123456789ABCDEF', hx[i + 2]) - 1)::bigint)""")
+ORACLES["op12_spelling"] = f"""
+with recursive r as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{{7,}}')) as run
+  from documents),
+g as (select doc_id, run, count(*) as times, hex(encode(doc_id || ':' || run)) as hx from r group by all),
+h as (select run, times, {CRC_OF_RUN} as h from g),
+w as (
+  select case when h % 31 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, times from h),
+x as (select word, sum(times)::bigint as n from w where length(word) >= 7 group by word having sum(times) >= 2),
+p as (select word, n, unnest(range(0, length(word))) as k from x),
+c as (select word, n, k, left(word, k) || substr(word, k + 2) as cut from p),
+near as (
+  select a.word, a.n, b.word as near, b.n as near_n from c a join c b on a.k = b.k and a.cut = b.cut and a.word <> b.word
+  union select x.word, x.n, c.word, c.n from x join c on c.cut = x.word
+  union select c.word, c.n, x.word, x.n from x join c on c.cut = x.word),
+best as (
+  select word, any_value(n) as n, count(*) as n_near, min_by(near, (-near_n, near)) as near, max(near_n) as near_n from near group by word),
+f as (
+  select x.word, case when near_n >= 10 * x.n then near end as form, x.n, coalesce(n_near, 0) as n_near,
+         case when near_n >= 10 * x.n then near_n end as form_n
+  from x left join best on best.word = x.word),
+way as (
+  select word, word as last, form as next from f
+  union all
+  select way.word, f.word, f.form from way join f on f.word = way.next)
+select f.word, f.form, way.last as root, f.n, f.n_near, f.form_n from f join way on way.word = f.word and way.next is null"""
+
+
 @query
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(documents(spark, sf_dir))
 
 
-# CRC-32 of an id: the sum over its digits, eight halvings each
-CRC_OF_ID = """xor(4294967295, list_reduce(
-  list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
-  lambda crc, byte: list_reduce([0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), xor(crc, byte)),
-  4294967295::bigint))"""
+CRC_OF_ID = CRC_OF_BYTES.format(bytes="list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)")
 ORACLES["op13_merkle"] = f"""
 with recursive d as (
   select *, coalesce(':' || source, '-') as tree, case when {CRC_OF_ID} % 2 = 0 then replace(text, chr(10), '') else text end as later
