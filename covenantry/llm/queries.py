@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from covenantry.llm.bpe import encode_digests
-from covenantry.llm import chat, dac, lm_score, merkle, pii, toxicity
+from covenantry.llm import chat, dac, language, lm_score, merkle, pii, toxicity
 from covenantry.llm.decontaminate import contamination
 from covenantry.llm.jaccard_join import near_duplicates
 from covenantry.llm.licenses import scan
@@ -123,6 +123,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+@query
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(documents(spark, sf_dir))
+
+
 # CRC-32 of a list of bytes: eight halvings each
 CRC_OF_BYTES = """xor(4294967295, list_reduce({bytes},
   lambda crc, byte: list_reduce([0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), xor(crc, byte)),
