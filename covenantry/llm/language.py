@@ -11,7 +11,8 @@ gets the language of the centroid of largest cosine; it is rejected if it is far
 Document frequencies count every row that may be learnt from; each task sends its sums once.  The
 centroids are the classifier and are fitted on at most ``SAMPLE`` rows a language (whole texts, by
 a hash of id and text), one task a language, which sees vectors only.  A model has at most
-``CENTROIDS * PLACES`` numbers a language; it is broadcast below ``MODEL_BYTES`` and refused above.
+``CENTROIDS * PLACES`` numbers a language; tables of more than ``MAX_LANGUAGES`` languages, whose
+model would exceed ``MODEL_BYTES``, are refused, so what is broadcast is bounded.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ ROUNDS = 10
 SUPPORT = 0.02
 SPREADS = 4.0
 MODEL_BYTES = 256 << 20
+MAX_LANGUAGES = MODEL_BYTES // (4 * PLACES * CENTROIDS)
 PIECE = 1 << 20
 BATCH = 64
 UNKNOWN = "und"
@@ -115,9 +117,12 @@ def inverse_frequencies(rows: DataFrame) -> np.ndarray:
 
 
 def sample_of(rows: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` rows of each language, by hash; no more than about twice as many meet in a task."""
-    sizes = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
-    met = rows.join(sizes, rows["lang"] == sizes["of"]).filter(F.pmod("turn", F.lit(1 << 40)) * F.col("n") < F.lit(2 * limit) * F.lit(float(1 << 40)))
+    """At most ``limit`` rows of each language, by hash; no more than about twice as many leave their place."""
+    sizes = written(rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")), "language-sizes")
+    if sizes.count() > MAX_LANGUAGES:
+        raise ValueError("too many languages for a broadcast model: lower PLACES or CENTROIDS, or raise MODEL_BYTES")
+    met = rows.join(F.broadcast(sizes), rows["lang"] == sizes["of"])
+    met = met.filter(F.pmod("turn", F.lit(1 << 40)) * F.col("n") < F.lit(2 * limit) * F.lit(float(1 << 40)))
     order = Window.partitionBy("lang").orderBy("turn")
     return met.dropDuplicates(["lang", "turn"]).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= limit).select("lang", "text", "turn")
 
@@ -178,8 +183,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     chosen = sample_of(rows, sample).mapInArrow(weigh, "lang string, turn long, places array<int>, weights array<float>")
     learnt = written(chosen.groupBy("lang").applyInArrow(learn, "lang string, reach double, centroid array<float>"), "centroids")
-    if learnt.count() * PLACES * 4 > MODEL_BYTES:
-        raise ValueError("too many languages for a broadcast model: lower PLACES or CENTROIDS, or raise MODEL_BYTES")
     # equal cosines go to the first language
     table = learnt.toArrow().sort_by([("lang", "ascending"), ("reach", "ascending")])
     return Model(table["lang"].to_pylist(), np.array(table["centroid"].to_pylist(), np.float32).reshape(-1, PLACES), table["reach"].to_numpy(), idf)
