@@ -124,7 +124,7 @@ f as (select {key}, count(*) as n, bool_or(source = 'ocr') as ocr, bool_or(verif
         bool_or(verification_method = 'sentence') as sentence from {{{table}}} group by {key})"""
 _MATCH = """case when ocr then -15 else 0 end + case when fuzzy then cast(trunc(-10.0::double - 15.0::double * (1.0::double - least(greatest(worst, 0.85::double), 1.0::double)) / 0.15::double) as int)
   when sentence then -10 else 0 end + case when contradiction_flag then -30 else 0 end"""
-_OB_POINTS = rf"""55 + case when modality in ('must', 'shall', 'required') then 15 else 0 end
+OB_POINTS = rf"""55 + case when modality in ('must', 'shall', 'required') then 15 else 0 end
   + case when due_kind in ('absolute', 'resolved_relative') or coalesce(trim(due_rule), '') <> '' then 10 else 0 end
   + case when responsible_entity_id is not null then 10 else 0 end
   + case when case doc_type when 'invoice' then obligation_type = 'payment' when 'contract' then obligation_type in ('compliance', 'submission', 'payment', 'notification')
@@ -137,7 +137,7 @@ _OB_POINTS = rf"""55 + case when modality in ('must', 'shall', 'required') then
       and coalesce(trim(due_rule), '') = '' then -10 else 0 end
   + case when obligation_type = 'payment' and not regexp_matches(obligation_text, '(?i)(\$[\d,]+|dollar)') then -10 else 0 end"""
 _OB_SCORED = "with " + _FACTS.format(key="obligation_id", table="evidence") + rf""",
-s as (select o.*, f.n, case when f.n is null then 0 else {_OB_POINTS} end as points
+s as (select o.*, f.n, case when f.n is null then 0 else {OB_POINTS} end as points
       from {{obligations}} o left join {{docs}} d on d.document_id = o.document_id left join f on f.obligation_id = o.obligation_id)"""
 
 
@@ -148,14 +148,14 @@ def score_obligations(fx):
     return S.score_obligations(fx.obligations, fx.docs, fx.evidence).select("obligation_id", "system_confidence", "status")
 
 
-_RISK_POINTS = rf"""55 + case when regexp_matches(risk_text, '(?i)(§|C\.R\.S\.|U\.S\.C\.|statute|regulation)') then 10 else 0 end
+RISK_POINTS = rf"""55 + case when regexp_matches(risk_text, '(?i)(§|C\.R\.S\.|U\.S\.C\.|statute|regulation)') then 10 else 0 end
   + case when regexp_matches(risk_text, '(?i)(\$[\d,]+|dollar)') then 5 else 0 end
   + case when regexp_matches(risk_text, '(?i)\b(by|before|within|no later than|after|days?|weeks?|months?)\b') then 5 else 0 end
   + case when contradiction_flag then 5 else 0 end + case when has_external_reference then 5 else 0 end + {_MATCH}"""
 
 
 @query("G11_score_risks", "with " + _FACTS.format(key="risk_id", table="risk_evidence") + rf""",
-s as (select r.*, f.n, case when f.n is null then 0 else {_RISK_POINTS} end as points from {{risks}} r left join f on f.risk_id = r.risk_id)
+s as (select r.*, f.n, case when f.n is null then 0 else {RISK_POINTS} end as points from {{risks}} r left join f on f.risk_id = r.risk_id)
 select risk_id, cast(case when status = 'rejected' then system_confidence else least(greatest(points, 0), 100) end as int) as system_confidence,
   case when status = 'rejected' or n is null or points < 50 then 'rejected' else 'needs_review' end as status from s""")
 def score_risks(fx):

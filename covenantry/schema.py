@@ -37,9 +37,10 @@ SECTION_LABELS = ("agreement_body", "non_agreement")
 RESULT_STATUSES = ("pass", "fail", "warning", "not_applicable")
 
 SEVERITY_RANK = {"low": 1, "medium": 2, "high": 3, "critical": 4}
+# Order of review states in lists.
 STATUS_RANK = {"rejected": 1, "confirmed": 2, "needs_review": 3}
 
-# Stage -> percent shown while a document is under way.
+# Stage -> percent shown while a document is under way.
 STAGE_PROGRESS = {
     "uploaded": 5, "parsing": 20, "ocr": 30, "chunking": 45, "classification": 60,
     "extraction": 72, "verification": 84, "critic_review": 88, "scoring": 92,
@@ -47,6 +48,7 @@ STAGE_PROGRESS = {
 }
 TERMINAL_STATUSES = ("complete", "partially_processed", "failed")
 
+# Fields that a review may edit.
 EDITABLE_OBLIGATION_FIELDS = (
     "obligation_text", "responsible_entity_id", "due_rule", "due_date",
     "trigger_date", "severity", "modality",
@@ -114,6 +116,20 @@ MENTION_ANSWER = T.ArrayType(T.StructType([
     T.StructField("page_number", T.StringType()),
 ]))
 
+VERDICT_ANSWER = T.ArrayType(T.StructType([
+    T.StructField("id", T.StringType()),
+    # Only true and false count, so its JSON type is kept.
+    T.StructField("valid", T.VariantType()),
+    T.StructField("confidence", T.VariantType()),
+    T.StructField("reasoning", T.StringType()),
+]))
+
+RESCORE_ANSWER = T.ArrayType(T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("revised_severity", T.StringType()),
+    T.StructField("quality_confidence", T.VariantType()),
+]))
+
 COMPLIANCE_REPORT = T.StructType([
     T.StructField("results", T.ArrayType(T.StructType([
         T.StructField("ruleId", T.StringType()),
