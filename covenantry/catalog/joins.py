@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from covenantry.catalog import query
 from covenantry.operators import contradictions as K, entities as E, evaluation as V, listing as L
+from covenantry.operators.containment import distinct_needles, first_pages
 from covenantry.operators.anchoring import EVIDENCE_KEY, anchor_exact, prepare_pages
 from covenantry.operators.notices import recipients
 from covenantry.operators.scoring import last_answer
@@ -104,10 +105,9 @@ def outputs(fx):
 select q.item_id, min(p.page_number) as page_number from {quotes} q join {pages_line} p on p.document_id = q.document_id
 where strpos(p.normalized_text, q.quote) > 0 group by q.item_id""")
 def containment(fx):
-    asked = fx.quotes.select("item_id", "document_id", F.col("quote").alias("needle"))
-    pages = prepare_pages(fx.pages_line)
-    hits = asked.join(pages, "document_id").filter(F.instr(F.col("page_text"), F.col("needle")) > 0)
-    return hits.groupBy("document_id", "item_id").agg(F.min("page_number").alias("page_number")).drop("document_id")
+    asked, needles = distinct_needles(fx.quotes.select("item_id", "document_id", F.col("quote").alias("needle")))
+    found = first_pages(needles, prepare_pages(fx.pages_line))
+    return asked.join(found, ["document_id", "needle_id"]).select("item_id", "page_number")
 
 
 def _loose_names(fx):

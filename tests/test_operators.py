@@ -8,9 +8,10 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from covenantry.functions.similarity import best_window
 from covenantry.functions.text import normalize_text
 from covenantry.operators import (
-    anchoring as A, contradictions as K, dedup as D, entities as E, evaluation as V, integrity as I, listing as L,
+    anchoring as A, containment as C, contradictions as K, dedup as D, entities as E, evaluation as V, integrity as I, listing as L,
     mutations as M, notices as N, pages as P, rollups as R, scoring as S,
 )
 from tests.test_similarity import every_window, plain_greedy, words
@@ -63,6 +64,60 @@ def test_cascade(spark):
     assert got[3].source == "ocr"
 
 
+def text_frames(spark, texts, pages):
+    needles = C.distinct_needles(spark.createDataFrame(texts, "item_id long, document_id long, needle string"))
+    return needles, spark.createDataFrame(pages, "document_id long, page_number int, page_text string, source string")
+
+
+@pytest.mark.parametrize("limit", [-1, 60, 1 << 16])
+def test_first_pages_equal_a_scan(spark, monkeypatch, limit):
+    """By anchors, partly by anchors, and directly."""
+    monkeypatch.setattr(C, "DIRECT_PAIRS", limit)
+    rng = random.Random(21)
+    pages = [(d, n, words(rng, rng.choice([1, 2, 3, 5, 60]), ("pay", "rent", "lot", "aa", "aaa", "日本", "é")), "ocr")
+             for d in (1, 2, 3) for n in range(1, 4 + 3 * d)]
+    texts = []
+    for i in range(150):
+        d, _, text, _ = rng.choice(pages)
+        start = rng.randrange(len(text))
+        cut = text[start:start + rng.choice([1, 2, 3, 4, 5, 9, 20, 60, 400])]
+        texts.append((i, rng.choice([d, d, 1, 4]), rng.choice([cut, cut, cut + "x", cut.replace(" ", "  ", 1), cut[::-1]])))
+    texts += [(200, 1, texts[0][2]), (201, 2, "  "), (202, 3, "pay  rent"), (203, 3, "a" * 5000)]
+    (asked, needles), frame = text_frames(spark, texts, pages)
+    found = C.first_pages(needles, frame)
+    got = {r.item_id: (r.page_number, r.start_at) for r in asked.join(found, ["document_id", "needle_id"]).collect()}
+    want = {}
+    for i, d, needle in texts:
+        for e, n, text, _ in pages:
+            if e == d and needle in text:
+                want[i] = (n, text.find(needle))
+                break
+    assert got == want and len(want) > 60
+
+
+def test_no_document_is_hot_among_anchors(spark, monkeypatch):
+    """A document with seven tenths of all texts and pages meets them by anchor, not in one place."""
+    rng = random.Random(22)
+    vocabulary = [f"w{i}" for i in range(900)]
+    pages = [(1 if n < 700 else n, n, words(rng, 12, vocabulary), "ocr") for n in range(1000)]
+    texts = [(i, d, text[2:-2]) for i, (d, _, text, _) in enumerate(pages)]
+    (_, needles), frame = text_frames(spark, texts, pages)
+    assert C._by_anchor(needles, frame).count() < 1.2 * len(texts)
+    try_back = []
+    for name, value in (("spark.sql.shuffle.partitions", "64"), ("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        before = spark.conf.get(name)
+        spark.conf.set(name, value)
+        try_back.append((name, before))
+    try:
+        met = C._by_anchor(needles, frame)
+        shares = met.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count"), F.count("*")).first()
+    finally:
+        for name, before in try_back:
+            spark.conf.set(name, before)
+    # 64 tasks: no document, and no anchor, fills one of them
+    assert shares[2] == 64 and shares[0] < 0.05 * shares[1]
+
+
 def test_fuzzy_scan_over_pages_equals_ordered_scan(spark):
     rng = random.Random(3)
     pages, quotes = [], {}
@@ -96,6 +151,34 @@ def test_fuzzy_scan_over_pages_equals_ordered_scan(spark):
     assert got == {i: w for i, w in want.items() if w}
 
 
+def test_fuzzy_search_in_pieces_and_blocks_equals_ordered_scan(spark, monkeypatch):
+    """Pieces of long pages, several blocks of quotes and packs of pages, against a scan of whole pages."""
+    for name, value in (("LEAST_CLASS", 6), ("PACK_PAGES", 2), ("PACK_GROUP", 2), ("BLOCK_QUOTES", 3)):
+        monkeypatch.setattr(A, name, value)
+    rng = random.Random(13)
+    pages = [(d, n, words(rng, rng.choice([3, 40, 300])), "ocr") for d in (1, 2) for n in range(1, 12)]
+    asked = []
+    for i in range(40):
+        d, _, text, _ = rng.choice(pages)
+        cut = list(text[rng.randrange(len(text)):][:rng.choice([10, 45, 90, 200, 500])]) or ["x"]
+        for _ in range(rng.randint(0, len(cut) // 8)):
+            cut[rng.randrange(len(cut))] = rng.choice("qz ")
+        asked.append((i, d, " ".join("".join(cut).split())))
+    asked = [q for q in asked if q[2]] + [(100, 3, "a document without pages"), (101, 1, " ")]
+    frame = spark.createDataFrame(pages, "document_id long, page_number int, normalized_text string, text_source string")
+    items = spark.createDataFrame(asked, "item_id long, document_id long, quote string")
+    got = {r.item_id: (r.hit.page_number, r.hit.start_at, r.hit.end_at, r.hit.ratio, r.hit.quote)
+           for r in A.anchor_fuzzy(items, A.prepare_pages(frame)).collect()}
+    want = {}
+    for i, d, quote in asked:
+        top = 0.0
+        for e, n, text, _ in pages:
+            found = best_window(quote, text, 0.85, 0.98, None) if e == d and top < 0.98 and quote.strip() else None
+            if found and found[2] > top:
+                want[i], top = (n, *found, text[found[0]:found[1]]), found[2]
+    assert got == want and len(want) > 20
+
+
 def test_quotes_are_sought_on_long_pages(spark):
     rng = random.Random(8)
     quote = "Payment is due within thirty days of the invoice date and carries interest thereafter."

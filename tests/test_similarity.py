@@ -4,9 +4,10 @@ import json
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 
-from covenantry.functions import similarity as M
+from covenantry.functions import similarity as M, windows as W
 from covenantry.operators.dedup import Resemblance, greedy_keep
 from covenantry.operators.evaluation import greedy_match
 from covenantry.operators.pages import mmr
@@ -143,3 +144,49 @@ def test_section_slices():
     near = "x" * 10 + " 1. Alpha beta " + "y " * 300 + " 2. Gamma delta\n" + "CAPITALS " + "z " * 300
     assert M.heading_offsets(near) == sorted(M.heading_offsets(near))
     assert M.section_slices("x" * 120, 50) == [(0, 50, "token_limit"), (50, 100, "token_limit"), (100, 120, "token_limit")]
+
+
+def drifted(rng, text, alphabet):
+    """A text with characters changed, dropped and doubled all over, as few blocks as possible left whole."""
+    out = []
+    for i, c in enumerate(text):
+        kind = rng.random()
+        if i % 5 == 4 and kind < 0.8:
+            out.append(rng.choice([rng.choice(alphabet), "", c + rng.choice(alphabet)]))
+        else:
+            out.append(c)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pack_search_finds_what_a_full_scan_finds(seed):
+    rng = random.Random(100 + seed)
+    alphabet = ["ab", "abcd", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz é漢"][seed]
+    pages = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 400))) for _ in range(12)]
+    pack = W.Pack([W.Piece(p, 0, max(len(p), 1)) for p in pages])
+    table = np.zeros(1 << W.HASH_BITS, bool)
+    hits = 0
+    for _ in range(60):
+        page = rng.choice(pages)
+        cut = page[rng.randint(0, max(0, len(page) - 10)):][:rng.randint(1, 150)]
+        quote = drifted(rng, cut, alphabet) if rng.random() < 0.8 else cut
+        if not quote:
+            continue
+        for floor, stop in ((0.85, 0.98), (0.7, 0.9), (0.9, 0.8)):
+            got = {i: found for i, *found in pack.search(quote, floor, stop, table)}
+            want = {i: list(w) for i, p in enumerate(pages) if (w := M.best_window(quote, p, floor, stop, None))}
+            assert got == want
+            hits += len(got)
+    assert hits and not table.any()
+
+
+def test_windows_that_reach_the_floor_hold_enough_grams():
+    rng = random.Random(9)
+    for _ in range(3000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(3, 60)))
+        b = drifted(rng, a, "abc")
+        ratio = M.sequence_ratio(a, b)
+        for q in (2, 3):
+            mine = {a[i:i + q] for i in range(len(a) - q + 1)}
+            held = sum(b[i:i + q] in mine for i in range(len(b) - q + 1))
+            assert held >= W.least_shared(len(a) + len(b), q, ratio)
