@@ -5,9 +5,9 @@ reach it; a bitmap beside it says which of them go on to level k + 1, and a rank
 the number of set bits before each block of 512, so the place of an id on the next level is one
 look-up and one popcount.  Any token is read without decoding its neighbours.
 
-A file: magic, header (counts, levels, end id), the documents' ids and first token places, then
-for each level the chunks, bitmap and rank directory.  Files hold documents in ascending order
-of id and follow each other in the order of their names.  A file is written under a
+A file: magic, header (counts, levels, documents without an id), the documents' ids and first token
+places, then for each level the chunks, bitmap and rank directory.  Files hold documents in ascending
+order of id, those without one first, and follow each other in the order of their names.  A file is written under a
 name of its own attempt, and the table of files, written by Spark, names those that count, so
 a repeated task leaves no doubt and no half-written file is ever read.
 """
@@ -29,14 +29,17 @@ from pyspark.sql import functions as F
 from covenantry.llm.shared import new_path, written
 from covenantry.llm.words import gather, hash_spans, runs, text_buffers, within
 
-MAGIC = b"DACIDS01"
+MAGIC = b"DACIDS02"
 BLOCK = 512
 FILE_TOKENS = 2 << 20
 BIT_COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def pack(doc_ids: np.ndarray, bounds: np.ndarray, ids: np.ndarray) -> bytes:
-    """A file of some documents; ``bounds`` are the token places at which they begin, and the end."""
+def pack(doc_ids: np.ndarray, bounds: np.ndarray, ids: np.ndarray, nameless: int = 0) -> bytes:
+    """A file of some documents; ``bounds`` are the token places at which they begin, and the end.
+
+    The first ``nameless`` documents have no id; what stands in its place is not read.
+    """
     levels, rest = [], ids.astype(np.uint32)
     while True:
         more = rest > 0xFF
@@ -49,7 +52,7 @@ def pack(doc_ids: np.ndarray, bounds: np.ndarray, ids: np.ndarray) -> bytes:
         rest = rest[more] >> 8
     out = io.BytesIO()
     out.write(MAGIC)
-    out.write(np.array([len(doc_ids), len(ids), len(levels), *(len(x[0]) for x in levels)], "<u8").tobytes())
+    out.write(np.array([len(doc_ids), len(ids), len(levels), nameless, *(len(x[0]) for x in levels)], "<u8").tobytes())
     out.write(doc_ids.astype("<i8").tobytes())
     out.write(bounds.astype("<u8").tobytes())
     for chunks, bits, directory in levels:
@@ -65,8 +68,8 @@ class Reader:
     def __init__(self, data: bytes) -> None:
         if data[:8] != MAGIC:
             raise ValueError("no file of directly addressable codes")
-        n_docs, self.n_tokens, n_levels = (int(x) for x in np.frombuffer(data, "<u8", 3, 8))
-        at = 32
+        n_docs, self.n_tokens, n_levels, self.nameless = (int(x) for x in np.frombuffer(data, "<u8", 4, 8))
+        at = 40
         sizes = np.frombuffer(data, "<u8", n_levels, at).astype(np.int64).tolist()
         at += 8 * n_levels
         self.doc_ids = np.frombuffer(data, "<i8", n_docs, at)
@@ -251,7 +254,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int, out: str | None = None) -
 
     Returns the folder and the table of its files with ``start``, the ids in all files before.
     Null text counts as empty.  Rows of equal doc_id follow each other by length and hash of
-    their text; a null doc_id is refused by the file format and raises.
+    their text; rows without one come first, in the same order.  Very long texts and columns of
+    any other name change nothing; an empty table has no files.
     """
     spark = docs.sparkSession
     out = out or new_path(spark, "token-ids")
@@ -262,25 +266,25 @@ def write_ids(docs: DataFrame, path: str, end_id: int, out: str | None = None) -
         encoder, part, number = loaded(path, end_id), TaskContext.get().partitionId(), 0
         store, root = fs.FileSystem.from_uri(out)
         store.create_dir(root)
-        ids, docs_of, bounds, total = [], [], [np.zeros(1, np.int64)], 0
+        ids, docs_of, bounds, total, nameless = [], [], [np.zeros(1, np.int64)], 0, 0
 
         def flush():
             name = f"{part:06d}-{number:06d}-{uuid.uuid4().hex}.dac"
             firsts = np.concatenate(docs_of)
             with store.open_output_stream(f"{root}/{name}") as stream:
-                stream.write(pack(firsts, np.concatenate(bounds), np.concatenate(ids)))
+                stream.write(pack(firsts, np.concatenate(bounds), np.concatenate(ids), nameless))
             return pa.RecordBatch.from_pylist(
                 [{"part": part, "number": number, "file": name, "n_docs": len(firsts), "n_tokens": total,
-                  "first_doc": int(firsts[0])}], schema=pa.schema([
+                  "first_doc": None if nameless else int(firsts[0])}], schema=pa.schema([
                       ("part", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()),
                       ("n_tokens", pa.int64()), ("first_doc", pa.int64())]))
 
         for batch in batches:
             done = 0
-            if batch.column(0).null_count:
-                raise ValueError("a document without an id has no place in the files")
             for n, tokens, ends in encoder.encode(batch.column(1)):
-                docs_of.append(batch.column(0).slice(done, n).to_numpy().astype(np.int64))
+                named = batch.column(0).slice(done, n)
+                docs_of.append(named.fill_null(0).to_numpy().astype(np.int64))
+                nameless += named.null_count
                 done += n
                 ids.append(tokens)
                 bounds.append(ends[1:] + total)
@@ -288,7 +292,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, out: str | None = None) -
                 if total >= FILE_TOKENS:
                     yield flush()
                     number += 1
-                    ids, docs_of, bounds, total = [], [], [np.zeros(1, np.int64)], 0
+                    ids, docs_of, bounds, total, nameless = [], [], [np.zeros(1, np.int64)], 0, 0
         if docs_of:
             yield flush()
 
@@ -322,7 +326,7 @@ def _read(files: DataFrame, folder: str, schema: str, derive, name: str, count:
                     reader = Reader(stream.read())
                 for i in range(0, len(reader.doc_ids), 2000):
                     some = range(i, min(i + 2000, len(reader.doc_ids)))
-                    columns = {"doc_id": pa.array(reader.doc_ids[i:i + 2000], pa.int64()),
+                    columns = {"doc_id": pa.array(reader.doc_ids[i:i + 2000], pa.int64(), mask=np.array(some) < reader.nameless),
                                "start": pa.array(reader.bounds[i:i + len(some)] + start, pa.int64())}
                     if count:
                         columns["n_tokens"] = pa.array(np.diff(reader.bounds[i:i + len(some) + 1]), pa.int64())
