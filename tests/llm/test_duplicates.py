@@ -64,6 +64,28 @@ def test_jaccard_components(spark, monkeypatch):
     assert sorted(r.n_shingles for r in got) == sorted(len(brute.shingles(t, 4)) for _, t in rows)
 
 
+def test_a_row_without_an_id_takes_no_links_away(spark):
+    """The first of equal texts has no id; those behind it keep their links."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (2, text), (5, text.replace("w7 ", "v7 "))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == {None: None, 2: 2, 5: 2}
+
+
+def test_near_copies_go_row_by_row(spark):
+    """Rows that repeat an id are judged by their own texts; rows without an id or words stay."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(7, a), (9, a.replace("a7 ", "v7 ")), (9, b), (9, b.upper()), (9, ""), (9, None), (None, a), (11, b.replace("b7 ", "v7 ")), (12, "alone")]
+    docs = spark.createDataFrame([(i, t, *brute.CLASHING) for i, t in rows], f"doc_id long, text string, {brute.CLASH}")
+    stay = jaccard_join.one_of_each(docs, shingle=5, share=80)
+    assert stay.columns == docs.columns
+    got = sorted(map(str, ((r.doc_id, (r.text or "").lower(), r.text is None) for r in stay.collect())))
+    assert got == sorted(map(str, [(7, a, False), (9, b, False), (9, "", False), (9, "", True), (None, a, False), (12, "alone", False)]))
+    none = jaccard_join.one_of_each(brute.empty(spark), shingle=5, share=80)
+    assert none.columns == docs.columns and none.count() == 0
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_join.near_duplicates(brute.empty(spark)).count() == 0
 
