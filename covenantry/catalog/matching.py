@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from covenantry.catalog import query
+from covenantry.fixtures import norm_sql
 from covenantry.functions.text import collapse_js, normalize_text
 from covenantry.operators import anchoring as A, dedup as D, pages as P, scoring as S
 from covenantry.operators.context import context_blocks, context_digest
@@ -16,7 +17,7 @@ h as (select q.item_id, q.document_id, p.page_number, strpos(p.normalized_text,
         row_number() over (partition by q.item_id order by p.page_number) as r
       from q join {pages_line} p on p.document_id = q.document_id where needle <> '' and strpos(p.normalized_text, needle) > 0)
 select item_id, document_id, page_number, cast(s as int) as start_at, cast(s + n as int) as end_at from h where r = 1""".replace(
-    "NORM(quote)", __import__("covenantry.fixtures", fromlist=["norm_sql"]).norm_sql("quote")))
+    "NORM(quote)", norm_sql("quote")))
 def exact(fx):
     hits = A.anchor_exact(fx.quotes, A.prepare_pages(fx.pages_line))
     return hits.select("item_id", "document_id", "hit.page_number", "hit.start_at", "hit.end_at")
@@ -32,7 +33,7 @@ h as (select c.item_id, c.document_id, p.page_number, strpos(p.normalized_text,
         row_number() over (partition by c.item_id order by -length(sentence), mi, si, p.page_number) as r
       from c join {pages_line} p on p.document_id = c.document_id where needle <> '' and strpos(p.normalized_text, needle) > 0)
 select item_id, document_id, page_number, cast(st as int) as start_at, cast(st + n as int) as end_at from h where r = 1""".replace(
-    "NORM(sentence)", __import__("covenantry.fixtures", fromlist=["norm_sql"]).norm_sql("sentence")))
+    "NORM(sentence)", norm_sql("sentence")))
 def sentence(fx):
     hits = A.anchor_sentence(fx.quotes, A.prepare_pages(fx.pages_line))
     return hits.select("item_id", "document_id", "hit.page_number", "hit.start_at", "hit.end_at")
@@ -100,7 +101,7 @@ def removed(fx):
 @query("G7_exact_copies", """
 with q as (select document_id, item_no, lower(NORM(quote)) as q from {truth})
 select document_id, min(item_no) as item_no from q where q <> '' group by document_id, q""".replace(
-    "NORM(quote)", __import__("covenantry.fixtures", fromlist=["norm_sql"]).norm_sql("quote")))
+    "NORM(quote)", norm_sql("quote")))
 def exact_copies(fx):
     body = fx.truth.select("document_id", "item_no", F.lower(normalize_text("quote")).alias("q"))
     return body.filter(F.col("q") != "").groupBy("document_id", "q").agg(F.min("item_no").alias("item_no")).drop("q")
@@ -169,13 +170,25 @@ def breakdown(fx):
     return rows.groupBy("obligation_id").agg(F.sum("delta").alias("points"))
 
 
-@query("K1_risk_breakdown_labels", "with " + _FACTS.format(key="risk_id", table="risk_evidence") + r"""
-select risk_id, 'statute_reference' as label, 10 as delta from {risks} join f using (risk_id) where regexp_matches(risk_text, '(?i)regulation')
-union all select risk_id, 'ocr_source', -15 from f where ocr
-union all select risk_id, 'no_evidence', 0 from {risks} where risk_id not in (select risk_id from f)""")
+_HITS = r"""[{'label': 'quote_verified', 'delta': 40}, {'label': 'verifier_pass', 'delta': 15},
+  case when regexp_matches(risk_text, '(?i)(§|C\.R\.S\.|U\.S\.C\.|statute|regulation)') then {'label': 'statute_reference', 'delta': 10} end,
+  case when regexp_matches(risk_text, '(?i)(\$[\d,]+|dollar)') then {'label': 'monetary_amount', 'delta': 5} end,
+  case when regexp_matches(risk_text, '(?i)\b(by|before|within|no later than|after|days?|weeks?|months?)\b') then {'label': 'explicit_deadline', 'delta': 5} end,
+  case when contradiction_flag then {'label': 'cross_obligation_linked', 'delta': 5} end,
+  case when has_external_reference then {'label': 'external_reference', 'delta': 5} end,
+  case when ocr then {'label': 'ocr_source', 'delta': -15} end,
+  case when fuzzy then {'label': 'fuzzy_verified', 'delta': cast(trunc(-10.0::double - 15.0::double * (1.0::double - least(greatest(worst, 0.85::double), 1.0::double)) / 0.15::double) as int)}
+    when sentence then {'label': 'sentence_verified', 'delta': -10} end,
+  case when contradiction_flag then {'label': 'contradiction', 'delta': -30} end]"""
+
+
+# The structs' braces are no table names.
+@query("K1_risk_breakdown_labels", "with " + _FACTS.format(key="risk_id", table="risk_evidence") + f""",
+h as (select risk_id, unnest({_HITS}) as hit from {{risks}} join f using (risk_id))
+select risk_id, hit.label as label, hit.delta as delta from h where hit is not null
+union all select risk_id, 'no_evidence', 0 from {{risks}} where risk_id not in (select risk_id from f)""")
 def risk_labels(fx):
-    rows = S.risk_breakdown(fx.risks, fx.risk_evidence)
-    return rows.filter(F.col("label").isin("statute_reference", "ocr_source", "no_evidence"))
+    return S.risk_breakdown(fx.risks, fx.risk_evidence)
 
 
 _BLOCKS = r"""

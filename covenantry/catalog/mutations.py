@@ -229,3 +229,13 @@ def users(fx):
     changes = fx.customer.groupBy(F.col("c_nationkey").cast("bigint").alias("user_id")).agg(
         F.when(n % 2 == 0, "reviewer").alias("role"), F.when(n % 3 == 0, False).alias("digest_enabled"))
     return M.update_users(fx.users, changes).select("user_id", "role", "digest_enabled")
+
+
+@query("J12_role_audit", """
+select 'users' as table_name, cast(c_nationkey as bigint) as record_id, 'update' as action, '{{"role":"reviewer"}}' as new_values, c_custkey as performed_by
+from {customer} where c_nationkey in (select n_nationkey from {nation}) and c_acctbal > 0""".replace("{{", "{").replace("}}", "}"))
+def role_audit(fx):
+    changes = fx.customer.select(
+        F.col("c_nationkey").cast("bigint").alias("user_id"), F.when(F.col("c_acctbal") > 0, "reviewer").alias("role"),
+        F.col("c_custkey").alias("performed_by"))
+    return M.role_audit(fx.users, changes).drop("old_values")

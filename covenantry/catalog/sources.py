@@ -229,16 +229,28 @@ def export(fx):
     return X.export_rows(fx.obligations, fx.docs, fx.assets, fx.evidence, fx.reviews, fx.users)
 
 
+@query("A9_export_list", "select * from (" + _EXPORT + """ where o.status = 'needs_review' and d.asset_id = 7
+  and exists (select 1 from {assignments} s where s.user_id = 17 and s.asset_id = 7)) x union all select * from (""" + _EXPORT + """
+  where o.severity = 'high' and d.asset_id = 3) y""")
+def export_list(fx):
+    """What a viewer sees of an assigned asset, and what an admin asks for."""
+    tables = (fx.obligations, fx.docs, fx.assets, fx.evidence, fx.reviews, fx.users, fx.assignments)
+    viewer = X.export_list(*tables, user_id=17, role="viewer", asset_id=7, status="needs_review")
+    return viewer.unionByName(X.export_list(*tables, user_id=1, role="admin", asset_id=3, severity="high"))
+
+
 @query("A9_export_risks", """
-select r.risk_id::varchar as id, a.name as asset_name, d.source_name as document_filename, r.risk_type, r.severity, r.status,
-  coalesce(e.evidence_id::varchar, '') <> '' as has_proof, coalesce(e.page_number::varchar, '') as evidence_page_number
+select r.risk_id::varchar as id, a.name as asset_name, d.source_name as document_filename, r.risk_type, r.risk_text as text,
+  coalesce(r.llm_severity, r.severity) as severity, r.system_confidence::varchar as system_confidence,
+  coalesce(r.llm_quality_confidence::varchar, '') as llm_quality_confidence, r.status,
+  coalesce(e.quote, '') as evidence_quote, coalesce(e.page_number::varchar, '') as evidence_page_number,
+  coalesce(e.raw_char_start::varchar, '') as evidence_char_start, coalesce(e.raw_char_end::varchar, '') as evidence_char_end,
+  regexp_replace(strftime(r.created_at, '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', '') as created_at, '' as last_reviewed_at, '' as reviewer_email
 from {risks} r join {docs} d on d.document_id = r.document_id join {assets} a on a.asset_id = d.asset_id
 left join {risk_evidence} e on e.risk_id = r.risk_id""")
 def export_risks(fx):
     none = fx.reviews.filter(F.lit(False)).withColumnRenamed("obligation_id", "risk_id")
-    rows = X.export_rows(fx.risks, fx.docs, fx.assets, fx.risk_evidence, none, fx.users, kind="risk")
-    return rows.select("id", "asset_name", "document_filename", "risk_type", "severity", "status",
-                       (F.col("evidence_quote") != "").alias("has_proof"), "evidence_page_number")
+    return X.export_rows(fx.risks, fx.docs, fx.assets, fx.risk_evidence, none, fx.users, kind="risk")
 
 
 @query("A9_csv_round_trip", """

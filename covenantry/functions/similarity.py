@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -155,13 +156,11 @@ MIN_SECTION_GAP = 250
 
 
 def heading_offsets(text: str, gap: int = MIN_SECTION_GAP) -> list[int]:
-    """Heading starts; each is measured against the one accepted last, in either pass."""
-    taken: list[int] = []
-    for heading in (NUMBERED_HEADING, CAPS_HEADING):
-        for found in heading.finditer(text):
-            if not taken or found.start(1) - taken[-1] >= gap:
-                taken.append(found.start(1))
-    return sorted(taken)
+    """Starts of headings: those of the numbered ones, then those of the others, each kept if it
+    lies ``gap`` characters behind the one that was kept last."""
+    starts = (found.start(1) for kind in (NUMBERED_HEADING, CAPS_HEADING) for found in kind.finditer(text))
+    last_kept = accumulate(starts, lambda last, at: at if last is None or at >= last + gap else last, initial=None)
+    return sorted(set(last_kept) - {None})
 
 
 def section_slices(text: str, limit: int) -> list[tuple[int, int, str]]:

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from covenantry.functions.similarity import rouge_l
 from covenantry.functions.text import page_ranges, statutory_pattern, word_tokens
+from covenantry.operators.graph import components
 from covenantry.schema import SEVERITY_RANK, rank_of
-from covenantry.session import spread
+from covenantry.session import cut_lineage, spread
 
 
 def reported_risks(risks: DataFrame) -> DataFrame:
@@ -43,28 +44,56 @@ def quote_pairs(truth: DataFrame, found: DataFrame, threshold: float) -> DataFra
 
 
 def match_items(truth: DataFrame, found: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Greedy one-to-one matching per document: (document_id, gt_id, pl_id, score).
+    """Greedy one-to-one matching per document: (document_id, gt_no, pl_no, score).
 
     ``truth``: document_id, item_no, quote.  ``found``: document_id, item_no, quote.  Each
-    truth item in order takes the best free found item, the earlier one on a tie.  Only
-    keys and scores of qualifying pairs reach the sequential step, no texts.
+    truth item in order takes the best free found item, the earlier one on a tie.
+
+    Pairs of distinct quotes are scored and written once.  A pair of quotes that both match nothing
+    else settles in a join: the copies of one side take those of the other in order.  What competes
+    is split in components, which cannot take items from each other, and only keys and scores of
+    one component meet in the sequential step.
     """
-    edges = quote_pairs(truth, found, threshold)
-    gt = truth.select("document_id", F.col("item_no").alias("no"),
-                      F.xxhash64(F.coalesce("quote", F.lit(""))).alias("key"))
-    pl = found.select("document_id", F.col("item_no").alias("no"),
-                      F.xxhash64(F.coalesce("quote", F.lit(""))).alias("key"))
-    live_gt = gt.join(edges.select("document_id", F.col("gt_key").alias("key")).distinct(),
-                      ["document_id", "key"], "left_semi")
-    live_pl = pl.join(edges.select("document_id", F.col("pl_key").alias("key")).distinct(),
-                      ["document_id", "key"], "left_semi")
-    def per_document(df: DataFrame, name: str, *columns: str) -> DataFrame:
-        return df.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
-
-    documents = (
-        per_document(live_gt, "g", "no", "key").join(per_document(live_pl, "p", "no", "key"), "document_id")
-        .join(per_document(edges, "e", "gt_key", "pl_key", "score"), "document_id")
-    )
+    scored = quote_pairs(truth, found, threshold)
+    alone = [F.count("*").over(W.partitionBy("document_id", key)) == 1 for key in ("gt_key", "pl_key")]
+    edges = cut_lineage(scored.withColumns({"a": alone[0], "b": alone[1]}).withColumn("alone", F.col("a") & F.col("b")).drop("a", "b"))
+
+    def live(items: DataFrame, side: str) -> DataFrame:
+        rows = items.select("document_id", F.col("item_no").cast("long").alias(f"{side}_no"),
+                            F.xxhash64(F.coalesce("quote", F.lit(""))).alias(f"{side}_key"))
+        return rows.join(edges.select("document_id", f"{side}_key", "alone").distinct(), ["document_id", f"{side}_key"])
+
+    gt, pl = cut_lineage(live(truth, "gt")), cut_lineage(live(found, "pl"))
+
+    def in_turn(rows: DataFrame, side: str) -> DataFrame:
+        order = W.partitionBy("document_id", f"{side}_key").orderBy(f"{side}_no")
+        return rows.filter("alone").drop("alone").withColumn("turn", F.row_number().over(order))
+
+    settled = (
+        in_turn(gt, "gt").join(edges.filter("alone").drop("alone"), ["document_id", "gt_key"])
+        .join(in_turn(pl, "pl"), ["document_id", "pl_key", "turn"]).select("document_id", "gt_no", "pl_no", "score"))
+    contested = edges.filter("not alone")
+    if contested.isEmpty():
+        return settled
+    return settled.unionByName(_assign(gt.filter("not alone"), pl.filter("not alone"), contested))
+
+
+def _assign(gt: DataFrame, pl: DataFrame, edges: DataFrame) -> DataFrame:
+    """The sequential rule within each component of competing quotes."""
+    def node(side: str) -> Column:
+        return F.xxhash64("document_id", F.lit(side), f"{side}_key")
+
+    edges = edges.withColumns({"a": node("gt"), "b": node("pl")})
+    roots = components(edges)
+
+    def per_component(df: DataFrame, at: Column, name: str, *columns: str) -> DataFrame:
+        placed = df.join(roots, at == roots["node"])
+        return placed.groupBy("document_id", "root").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+
+    key = ["document_id", "root"]
+    groups = (
+        per_component(gt, node("gt"), "g", "gt_no", "gt_key").join(per_component(pl, node("pl"), "p", "pl_no", "pl_key"), key)
+        .join(per_component(edges, F.col("a"), "e", "gt_key", "pl_key", "score"), key))
     result = T.ArrayType(T.StructType().add("gt_no", "long").add("pl_no", "long").add("score", "double"))
 
     @F.pandas_udf(result)
@@ -72,8 +101,8 @@ def match_items(truth: DataFrame, found: DataFrame, threshold: float = 0.5) -> D
         return pd.Series([
             greedy_match(*columns) for columns in zip(gt_no, gt_key, pl_no, pl_key, from_key, to_key, score)])
 
-    fields = ("g.no", "g.key", "p.no", "p.key", "e.gt_key", "e.pl_key", "e.score")
-    return spread(documents, "document_id").select("document_id", F.inline(assign(*map(F.col, fields))))
+    fields = ("g.gt_no", "g.gt_key", "p.pl_no", "p.pl_key", "e.gt_key", "e.pl_key", "e.score")
+    return spread(groups, *key).select("document_id", F.inline(assign(*map(F.col, fields))))
 
 
 def unmatched_items(truth: DataFrame, found: DataFrame, matched: DataFrame) -> DataFrame:

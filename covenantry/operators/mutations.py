@@ -228,12 +228,12 @@ def advance_status(documents: DataFrame, to: str) -> DataFrame:
 def update_users(users: DataFrame, changes: DataFrame) -> DataFrame:
     """``changes``: user_id, role, digest_enabled, digest_timezone; NULL means not given.
 
-    Of several changes of one user each column takes the last that is given.  Changes with an
-    unknown time zone are left out.
+    Of several changes of one user each column takes the last that is given.  An unknown time zone is
+    refused as if it were not given (see :func:`refused_timezones`); the rest of its change counts.
     """
     names = [c for c in ("role", "digest_enabled", "digest_timezone") if c in changes.columns]
     if "digest_timezone" in names:
-        changes = check_timezones(changes)
+        changes = changes.withColumn("digest_timezone", F.when(_known_timezone(), F.col("digest_timezone")))
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), order_of(changes, [c]))).alias("_" + c) for c in names]
     given = changes.groupBy("user_id").agg(*last) if last else changes.select("user_id").distinct()
     df = users.join(given, "user_id", "left")
@@ -241,9 +241,21 @@ def update_users(users: DataFrame, changes: DataFrame) -> DataFrame:
     return df.withColumns(new).drop(*("_" + c for c in names))
 
 
-def check_timezones(changes: DataFrame) -> DataFrame:
-    """Changes whose time zone, if given, is a known one."""
+def _known_timezone() -> Column:
     from zoneinfo import available_timezones
 
-    zones = F.col("digest_timezone")
-    return changes.filter(zones.isNull() | zones.isin(*sorted(available_timezones())))
+    return F.col("digest_timezone").isin(*sorted(available_timezones()))
+
+
+def refused_timezones(changes: DataFrame) -> DataFrame:
+    """Changes that give a time zone which is not known."""
+    return changes.filter(F.col("digest_timezone").isNotNull() & ~_known_timezone())
+
+
+def role_audit(users: DataFrame, changes: DataFrame) -> DataFrame:
+    """An audit row for every change of a known user that gives a role; the old value is not kept."""
+    given = changes.filter(F.col("role").isNotNull()).join(users.select("user_id"), "user_id", "left_semi")
+    rest = [c for c in ("performed_by", "performed_at") if c in changes.columns]
+    return given.select(
+        F.lit("users").alias("table_name"), F.col("user_id").alias("record_id"), F.lit("update").alias("action"),
+        F.lit(None).cast("string").alias("old_values"), F.to_json(F.struct("role")).alias("new_values"), *rest)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from covenantry.operators.listing import resolve_export_rows
+from covenantry.operators.listing import in_scope, list_obligations, list_risks, resolve_export_rows
 from covenantry.schema import OBLIGATION_EXPORT_COLUMNS, RISK_EXPORT_COLUMNS
 
 
@@ -44,6 +44,21 @@ def check_row_cap(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
     return rows
 
 
+def export_list(
+    items: DataFrame, documents: DataFrame, assets: DataFrame, evidence: DataFrame, reviews: DataFrame,
+    users: DataFrame, assignments: DataFrame, *, user_id, role: str, kind: str = "obligation", asset_id=None,
+    status=None, severity=None, risk_type=None, document_id=None, max_rows: int | None = None,
+) -> DataFrame:
+    """The export rows that a user may see and asks for: filters and scope first, so look-ups meet only what is left."""
+    chosen = {"status": status, "severity": severity, "document_id": document_id}
+    if kind == "risk":
+        rows = list_risks(items, risk_type=risk_type, **chosen)
+    else:
+        rows = list_obligations(items, **chosen)
+    rows = check_row_cap(in_scope(rows, documents, assignments, user_id=user_id, role=role, asset_id=asset_id), max_rows)
+    return export_rows(rows, documents, assets, evidence, reviews, users, kind=kind)
+
+
 def write_csv(rows: DataFrame, path: str, *order: str) -> None:
     """One header per part file, CRLF line ends, doubled quotes, newest first."""
     ordered = rows.orderBy(*(F.col(c).desc() if c == "created_at" else F.col(c) for c in (order or ("created_at", "id"))))

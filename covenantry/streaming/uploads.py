@@ -1,4 +1,4 @@
-"""Uploads and events as streams.
+"""Uploads as streams (L1 up to chunks, L7); :mod:`covenantry.streaming.stages` runs all stages.
 
 Every micro-batch runs the batch operators and replaces its own partition of the
 target tables, so a batch that is retried after a failure leaves one copy.
@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from covenantry.functions.text import sha256_text
-from covenantry.operators.notices import emit_notifications
 from covenantry.operators.pages import chunk_pages, normalize_pages, page_rows
 from covenantry.sources.files import UPLOAD_KEY, ingest_new
 
@@ -63,16 +62,6 @@ def process_uploads(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def notify_batch(root: str, assignments: DataFrame, risks: DataFrame, *, email_enabled: bool = False):
-    """Events and notifications for the documents that a batch reports as finished."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        events, rows = emit_notifications(batch, assignments, risks, email_enabled=email_enabled)
-        write_batch(events, root, "notification_events", batch_id)
-        write_batch(rows, root, "user_notifications", batch_id)
-
-    return run
-
-
 def distinct_batch(root: str) -> Callable[[DataFrame, int], None]:
     """Keep the keys of a batch that no earlier batch has brought."""
     def run(batch: DataFrame, batch_id: int) -> None:
