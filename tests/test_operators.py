@@ -240,6 +240,51 @@ def test_dedupe_candidates_equals_plain(spark):
     assert got == sorted(want)
 
 
+def near_quotes(rng, n):
+    """Quotes that are edited, cut and joined forms of a few, in an alphabet that lets chance pairs be alike."""
+    base = [words(rng, rng.choice([3, 8, 14])) for _ in range(5)]
+    out = []
+    for _ in range(n):
+        text = list(rng.choice(base))
+        for _ in range(rng.randint(0, len(text) // 4)):
+            text[rng.randrange(len(text))] = rng.choice("xyz ")
+        text = "".join(text)
+        out.append(rng.choice([text, text, text + " " + words(rng, 3), text[: max(8, len(text) * 2 // 3)], text.upper()]))
+    return out
+
+
+def test_dedupe_in_blocks_equals_plain_greedy(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_QUOTES", 4)
+    rng = random.Random(31)
+    data = [(d, i, q, rng.choice(["quality", "unknown_risk"]), rng.choice(["low", "high"]))
+            for d, n in ((1, 70), (2, 30), (3, 1)) for i, q in enumerate(near_quotes(rng, n))]
+    df = spark.createDataFrame(data, "document_id long, n long, quote string, risk_type string, severity string")
+    got = rows(D.dedupe_candidates(df, text="quote", order="n", richness=D.risk_richness(), due_date=None, party=None), "document_id", "n")
+    want = []
+    for doc in (1, 2, 3):
+        cand = [(n, " ".join(q.lower().split()), (None, None), (kind == "quality") + (grave == "high"))
+                for d, n, q, kind, grave in data if d == doc and q.strip()]
+        want += [(doc, n) for n in plain_greedy(cand)]
+    assert got == sorted(want) and 20 < len(got) < len(data)
+
+
+def test_novel_items_in_blocks_equal_a_scan(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_QUOTES", 4)
+    rng = random.Random(32)
+    late = [(d, i, q) for d in (1, 2) for i, q in enumerate(near_quotes(rng, 50))]
+    old = [(1, q) for q in near_quotes(rng, 6)] + [(1, late[3][2]), (3, "of another document")]
+    want, like = [], D.Resemblance(D.CRITIC_SEQUENCE_FLOOR, None)
+    for doc in (1, 2):
+        taken = [" ".join(q.lower().split()) for d, q in old if d == doc]
+        for d, n, q in late:
+            text = " ".join(q.lower().split())
+            if d == doc and text and not any(like.same(text, t) for t in taken):
+                taken.append(text)
+                want.append((doc, n))
+    frames = (spark.createDataFrame(late, "document_id long, n long, quote string"), spark.createDataFrame(old, "document_id long, quote string"))
+    assert rows(D.novel_items(*frames, text="quote", order="n"), "document_id", "n") == sorted(want) and len(want) > 10
+
+
 def test_novel_items(spark):
     late = spark.createDataFrame([(1, 1, "The tenant pays rent monthly to the owner."), (1, 2, "the tenant pays rent monthly to the owner"),
                                   (1, 3, "Insurance must be kept in force."), (1, 4, "Insurance must be kept in force!"), (1, 5, " "),

@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import numpy as np
 import pytest
 
-from covenantry.functions import similarity as M, windows as W
+from covenantry.functions import alike as K, similarity as M, windows as W
 from covenantry.operators.dedup import Resemblance, greedy_keep
 from covenantry.operators.evaluation import greedy_match
 from covenantry.operators.pages import mmr
@@ -190,3 +190,21 @@ def test_windows_that_reach_the_floor_hold_enough_grams():
             mine = {a[i:i + q] for i in range(len(a) - q + 1)}
             held = sum(b[i:i + q] in mine for i in range(len(b) - q + 1))
             assert held >= W.least_shared(len(a) + len(b), q, ratio)
+
+
+def test_bounds_leave_out_nothing_that_resembles():
+    rng = random.Random(41)
+    table, seen = np.zeros(1 << W.HASH_BITS, bool), 0
+    for rules in (Resemblance(), Resemblance(0.85, None), Resemblance(0.6, 0.4)):
+        quotes = []
+        for _ in range(80):
+            text = "".join(rng.choice("abcd  ") for _ in range(rng.randint(1, 90))).strip() or "a"
+            quotes += [text, drifted(rng, text, "abcd "), text[rng.randint(0, 20):][:60] or "b"]
+        quotes = [q for q in quotes if q]
+        block = K.Block(quotes)
+        for i, quote in enumerate(quotes):
+            may = set(block.may_resemble(quote, block.tokens[i], table, rules).tolist())
+            alike = {j for j, other in enumerate(quotes) if any(rules.both_ways(quote, other))}
+            assert alike <= may
+            seen += len(alike) - 1
+    assert seen > 100
