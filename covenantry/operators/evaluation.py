@@ -11,6 +11,8 @@ from covenantry.operators.graph import components
 from covenantry.schema import SEVERITY_RANK, rank_of
 from covenantry.session import cut_lineage, spread
 
+SMALL = 256
+
 
 def reported_risks(risks: DataFrame) -> DataFrame:
     """Risks that count in an evaluation: those generated from contradictions are left out."""
@@ -49,21 +51,36 @@ def match_items(truth: DataFrame, found: DataFrame, threshold: float = 0.5) -> D
     ``truth``: document_id, item_no, quote.  ``found``: document_id, item_no, quote.  Each
     truth item in order takes the best free found item, the earlier one on a tie.
 
-    Pairs of distinct quotes are scored and written once.  A pair of quotes that both match nothing
-    else settles in a join: the copies of one side take those of the other in order.  What competes
-    is split in components, which cannot take items from each other, and only keys and scores of
-    one component meet in the sequential step.
+    Pairs of distinct quotes are scored and written once.  A document of at most ``SMALL`` items with
+    a partner is one bounded row.  In a larger one, a pair of quotes that both match nothing else
+    settles in a join, where the copies of one side take those of the other in order; what competes is split in
+    components, which cannot take items from each other, and only keys and scores of one
+    component meet in the sequential step.
     """
-    scored = quote_pairs(truth, found, threshold)
-    alone = [F.count("*").over(W.partitionBy("document_id", key)) == 1 for key in ("gt_key", "pl_key")]
-    edges = cut_lineage(scored.withColumns({"a": alone[0], "b": alone[1]}).withColumn("alone", F.col("a") & F.col("b")).drop("a", "b"))
+    edges = cut_lineage(quote_pairs(truth, found, threshold))
 
     def live(items: DataFrame, side: str) -> DataFrame:
         rows = items.select("document_id", F.col("item_no").cast("long").alias(f"{side}_no"),
                             F.xxhash64(F.coalesce("quote", F.lit(""))).alias(f"{side}_key"))
+        return cut_lineage(rows.join(edges.select("document_id", f"{side}_key").distinct(), ["document_id", f"{side}_key"], "left_semi"))
+
+    sides = gt, pl = live(truth, "gt"), live(found, "pl")
+    sizes = gt.select("document_id").unionByName(pl.select("document_id")).groupBy("document_id").agg(F.count("*").alias("n"))
+    large = cut_lineage(sizes.filter(F.col("n") > SMALL).select("document_id"))
+    if large.isEmpty():
+        return _assign(*sides, edges, ["document_id"])
+    little, much = (tuple(df.join(large, "document_id", how) for df in (*sides, edges)) for how in ("left_anti", "left_semi"))
+    return _assign(*little, ["document_id"]).unionByName(_match_large(*much))
+
+
+def _match_large(gt: DataFrame, pl: DataFrame, edges: DataFrame) -> DataFrame:
+    alone = [F.count("*").over(W.partitionBy("document_id", key)) == 1 for key in ("gt_key", "pl_key")]
+    edges = cut_lineage(edges.withColumns({"a": alone[0], "b": alone[1]}).withColumn("alone", F.col("a") & F.col("b")).drop("a", "b"))
+
+    def marked(rows: DataFrame, side: str) -> DataFrame:
         return rows.join(edges.select("document_id", f"{side}_key", "alone").distinct(), ["document_id", f"{side}_key"])
 
-    gt, pl = cut_lineage(live(truth, "gt")), cut_lineage(live(found, "pl"))
+    gt, pl = marked(gt, "gt"), marked(pl, "pl")
 
     def in_turn(rows: DataFrame, side: str) -> DataFrame:
         order = W.partitionBy("document_id", f"{side}_key").orderBy(f"{side}_no")
@@ -72,28 +89,29 @@ def match_items(truth: DataFrame, found: DataFrame, threshold: float = 0.5) -> D
     settled = (
         in_turn(gt, "gt").join(edges.filter("alone").drop("alone"), ["document_id", "gt_key"])
         .join(in_turn(pl, "pl"), ["document_id", "pl_key", "turn"]).select("document_id", "gt_no", "pl_no", "score"))
-    contested = edges.filter("not alone")
-    if contested.isEmpty():
-        return settled
-    return settled.unionByName(_assign(gt.filter("not alone"), pl.filter("not alone"), contested))
-
 
-def _assign(gt: DataFrame, pl: DataFrame, edges: DataFrame) -> DataFrame:
-    """The sequential rule within each component of competing quotes."""
     def node(side: str) -> Column:
         return F.xxhash64("document_id", F.lit(side), f"{side}_key")
 
-    edges = edges.withColumns({"a": node("gt"), "b": node("pl")})
-    roots = components(edges)
+    rivals = edges.filter("not alone").withColumns({"a": node("gt"), "b": node("pl")})
+    roots = components(rivals)
+
+    def placed(df: DataFrame, at: Column) -> DataFrame:
+        return df.join(roots, at == roots["node"]).drop("node")
+
+    return settled.unionByName(_assign(
+        placed(gt.filter("not alone"), node("gt")), placed(pl.filter("not alone"), node("pl")), placed(rivals, F.col("a")),
+        ["document_id", "root"]))
+
 
-    def per_component(df: DataFrame, at: Column, name: str, *columns: str) -> DataFrame:
-        placed = df.join(roots, at == roots["node"])
-        return placed.groupBy("document_id", "root").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+def _assign(gt: DataFrame, pl: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """The sequential rule within each group of items that may compete."""
+    def gathered(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        return df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
 
-    key = ["document_id", "root"]
     groups = (
-        per_component(gt, node("gt"), "g", "gt_no", "gt_key").join(per_component(pl, node("pl"), "p", "pl_no", "pl_key"), key)
-        .join(per_component(edges, F.col("a"), "e", "gt_key", "pl_key", "score"), key))
+        gathered(gt, "g", "gt_no", "gt_key").join(gathered(pl, "p", "pl_no", "pl_key"), key)
+        .join(gathered(edges, "e", "gt_key", "pl_key", "score"), key))
     result = T.ArrayType(T.StructType().add("gt_no", "long").add("pl_no", "long").add("score", "double"))
 
     @F.pandas_udf(result)

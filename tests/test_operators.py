@@ -253,8 +253,10 @@ def near_quotes(rng, n):
     return out
 
 
-def test_dedupe_in_blocks_equals_plain_greedy(spark, monkeypatch):
+@pytest.mark.parametrize("small", [0, 40, 256])
+def test_dedupe_in_blocks_equals_plain_greedy(spark, monkeypatch, small):
     monkeypatch.setattr(D, "BLOCK_QUOTES", 4)
+    monkeypatch.setattr(D, "SMALL", small)
     rng = random.Random(31)
     data = [(d, i, q, rng.choice(["quality", "unknown_risk"]), rng.choice(["low", "high"]))
             for d, n in ((1, 70), (2, 30), (3, 1)) for i, q in enumerate(near_quotes(rng, n))]
@@ -268,8 +270,10 @@ def test_dedupe_in_blocks_equals_plain_greedy(spark, monkeypatch):
     assert got == sorted(want) and 20 < len(got) < len(data)
 
 
-def test_novel_items_in_blocks_equal_a_scan(spark, monkeypatch):
+@pytest.mark.parametrize("small", [0, 256])
+def test_novel_items_in_blocks_equal_a_scan(spark, monkeypatch, small):
     monkeypatch.setattr(D, "BLOCK_QUOTES", 4)
+    monkeypatch.setattr(D, "SMALL", small)
     rng = random.Random(32)
     late = [(d, i, q) for d in (1, 2) for i, q in enumerate(near_quotes(rng, 50))]
     old = [(1, q) for q in near_quotes(rng, 6)] + [(1, late[3][2]), (3, "of another document")]
@@ -426,7 +430,9 @@ def test_later_pair_gets_no_evidence(spark):
 
 # --- evaluation ------------------------------------------------------------------------------
 
-def test_match_items_equals_brute_force(spark):
+@pytest.mark.parametrize("small", [0, 20, 256])
+def test_match_items_equals_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(V, "SMALL", small)
     from covenantry.functions.similarity import rouge_l_score
     rng = random.Random(21)
     truth, found = [], []
