@@ -87,6 +87,17 @@ def flags(fx):
     return K.flag_contradictions(fx.obligations).select("obligation_id", "contradiction_flag")
 
 
+@query("D5_conflict_groups", _PAIRS + """,
+v as (select document_id, obligation_type, 'due_date' as conflict, null::varchar as party, due_date::varchar as value from a where due_date is not null
+      union all select document_id, obligation_type, 'amounts', null, amounts from a where amounts <> ''
+      union all select document_id, obligation_type, 'severity', responsible_entity_id::varchar, severity from a where responsible_entity_id is not null),
+c as (select *, cast(count(*) as bigint) as members from v group by all),
+o as (select *, cast(sum(members) over (partition by document_id, obligation_type, conflict, party) - members as bigint) as others from c)
+select * from o where others > 0""")
+def groups(fx):
+    return K.conflict_groups(fx.obligations)
+
+
 @query("D6_contradiction_outputs", _PAIRS + """,
 s as (select *, first_id as obligation_id, 0 as side from p union all select *, second_id, 1 from p),
 w as (select s.*, e.page_number, e.quote_sha256, e.normalized_char_end, row_number() over (
