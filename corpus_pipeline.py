@@ -1,6 +1,8 @@
 """From raw documents to token ids: toxicity, exact and near duplicates, decontamination, BPE.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  ``run`` writes
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  Null
+counts as an empty text, of which exact de-duplication keeps one; repeated ids are judged by their
+texts, and an empty table stays empty.  ``run`` writes
 each stage's rows to the shared folder and reads them back, so a lost executor never sends the
 work back beyond the stage it was in.
 """

@@ -119,7 +119,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not contaminated."""
+    """The rows of ``docs``, with all their columns, that are not contaminated.
+
+    Null and empty texts have no words and stay; rows that repeat an id, or have none, are judged by their own
+    texts; an empty table stays empty.
+    """
     bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("gone"), "copy").distinct()
     same = docs["doc_id"].eqNullSafe(bad["gone"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["copy"])
     return docs.join(bad, same, "left_anti")

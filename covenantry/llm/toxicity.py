@@ -7,7 +7,8 @@ term leaves most weights at exactly zero, so the model is a short table of place
 whose size is bounded by ``2**BITS`` and which is broadcast for scoring.
 
 Bound: the classifier is fitted in one task on at most ``SAMPLE`` labelled rows (those of the
-smallest hash of the id; their whole texts).  Every row of the table is scored.
+smallest hash of the id; their whole texts).  Places that at most two rows of the sample hold are
+left out of the fit, as they say nothing of other rows.  Every row of the table is scored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from covenantry.llm.words import ALNUM, BASE, Words, _mix, distinct, hash_spans,
 BITS = 20
 SAMPLE = 16_000
 EPOCHS = 4
+RUN_BYTES = 1 << 20     # text hashed at once, which bounds a worker's arrays
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 4.0, 0.5
 PREFIXES = (4, 6)
 THRESHOLD = 0.3
@@ -87,7 +89,7 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
     """Weights of all places and the bias, learnt in one task from the (bounded) sample in hashed order."""
     def features(batches):
         for batch in batches:
-            for found in spans(batch.column(2), ALNUM):
+            for found in spans(batch.column(2), ALNUM, RUN_BYTES):
                 doc, place = feature_places(found)
                 n = found.rows.stop - found.rows.start
                 pairs = distinct(doc << BITS | place)
@@ -133,7 +135,7 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
 def batch_scores(text: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     """Probability of each text of a batch."""
     out = [np.zeros(0)]
-    for found in spans(text, ALNUM):
+    for found in spans(text, ALNUM, RUN_BYTES):
         doc, place = feature_places(found)
         heavy = np.flatnonzero(weights[place])
         pairs = distinct(doc[heavy] << BITS | place[heavy])
@@ -163,7 +165,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below the threshold; no row is moved."""
+    """The rows of ``docs``, with all their columns, that score below the threshold; no row is moved.
+
+    Null and empty texts have the score of the bias alone, repeated rows and ids are judged row by row by
+    their own texts, columns of any name stay, and an empty table stays empty.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels)))
     at = docs.columns.index("text")
 
