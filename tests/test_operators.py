@@ -638,7 +638,11 @@ def test_repeated_changes_count_once(spark):
     users = frame([(1, "viewer", True, "UTC")], "user_id long, role string, digest_enabled boolean, digest_timezone string")
     changes = frame([(1, "admin", None, None, 1), (1, None, False, "Europe/Paris", 2), (1, "editor", None, "No/Where", 3)],
                     "user_id long, role string, digest_enabled boolean, digest_timezone string, change_no int")
-    assert rows(M.update_users(users, changes), "role", "digest_enabled", "digest_timezone") == [("admin", False, "Europe/Paris")]
+    # an unknown time zone is refused, the role beside it is not
+    assert rows(M.update_users(users, changes), "role", "digest_enabled", "digest_timezone") == [("editor", False, "Europe/Paris")]
+    assert rows(M.refused_timezones(changes), "change_no") == [(3,)]
+    assert [tuple(r) for r in M.role_audit(users, changes).select("record_id", "new_values").orderBy("new_values").collect()] == [
+        (1, '{"role":"admin"}'), (1, '{"role":"editor"}')]
     asks = frame([(1, 1, 1)], "request_id long, ifc_model_id long, spec_document_id long")
     twice = frame([(1,), (1,)], "ifc_model_id long")
     assert S.check_requests(asks, twice, twice.withColumnRenamed("ifc_model_id", "document_id")).count() == 1
