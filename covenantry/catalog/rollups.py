@@ -163,7 +163,7 @@ def run_outputs(fx):
 
 @query("E11_documents_overview", """
 select d.document_id, d.source_name, d.parse_status, d.total_pages, d.uploaded_at, coalesce(c.n, 0) as chunks, coalesce(o.n, 0) as obligations
-from {docs} d left join (select document_id, count(*) as n from {chunks} group by document_id) c on c.document_id = d.document_id
+from {docs} d left join (select document_id, count(*) as n from {split_chunks} group by document_id) c on c.document_id = d.document_id
 left join (select document_id, count(*) as n from {obligations} group by document_id) o on o.document_id = d.document_id""")
 def overview(fx):
     return R.documents_overview(fx.docs, fx.chunks, fx.obligations)

@@ -156,8 +156,10 @@ def section_stats(fx):
 
 
 @query("C16_section_label", """
-with n as (select *, row_number() over (partition by document_id order by page_number, char_start) as no from {chunks})
-select document_id, page_number, char_start, case when (document_id + no) % 3 = 0 then 'non_agreement' else 'agreement_body' end as section_label from n""")
+with n as (select *, row_number() over (partition by document_id order by page_number, char_start) as no from {split_chunks})
+select document_id, page_number, char_start,
+  case when (document_id + no) % 3 = 0 and no <= greatest(ceil(n_chars / 4000), 1) then 'non_agreement' else 'agreement_body' end as section_label
+from n join {documents} on doc_id = document_id""")
 def section_label(fx):
     no = F.explode(F.sequence(F.lit(1), F.greatest(F.ceil(F.col("n_chars") / 4000).cast("int"), F.lit(1))))
     said = fx.documents.select(F.col("doc_id").alias("document_id"), no.alias("section"))
@@ -194,7 +196,7 @@ def mode(fx):
 
 
 @query("C22_chunk_pages", """
-select document_id, page_number, char_start, char_end, sha256(text) as chunk_sha256, split_reason from {chunks}""")
+select document_id, page_number, char_start, char_end, sha256(text) as chunk_sha256, split_reason from {split_chunks}""")
 def chunk_rows(fx):
     return fx.chunks.drop("text")
 
