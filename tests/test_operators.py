@@ -713,3 +713,19 @@ def test_missed_spurious_and_removed(spark):
     assert rows(rest, "item_no", "outcome") == [(2, "missed"), (8, "spurious")]
     kept = items((1, "a"))
     assert rows(D.removed_counts(items((1, "a"), (2, "a"), (3, "b")), kept), "document_id", "candidates", "removed") == [(1, 3, 2)]
+
+
+def test_large_documents_are_told_apart_without_moving_texts(spark, monkeypatch):
+    from covenantry.operators import containment
+
+    monkeypatch.setattr(containment, "DIRECT_PAIRS", 4)
+    pages = A.prepare_pages(spark.createDataFrame(
+        [(d, n, f"page {n} of document {d} tells of lot {n} and no more", "ocr") for d in (1, 2) for n in range(1, 3 if d == 1 else 6)],
+        "document_id long, page_number int, normalized_text string, text_source string"))
+    items = spark.createDataFrame(
+        [(d * 10 + n, d, f"document {d} tells of lot {n} and") for d in (1, 2) for n in range(1, 3 if d == 1 else 6)],
+        "item_id long, document_id long, quote string")
+    found = A.anchor_exact(items, pages)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti, BuildRight" in plan  # a broadcast of the few, no shuffle of the texts
+    assert {(r.item_id, r.hit.page_number) for r in found.collect()} == {(d * 10 + n, n) for d in (1, 2) for n in range(1, 3 if d == 1 else 6)}
