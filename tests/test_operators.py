@@ -457,6 +457,22 @@ def test_match_items_equals_brute_force(spark, monkeypatch, small):
     assert rows(got, "document_id", "gt_no", "pl_no") == sorted(want)
 
 
+def test_digest_moves_texts_alone(spark):
+    from covenantry.operators.context import context_digest
+    pages = spark.createDataFrame([(1, 1, "- The first block says much here\n- the second one, it holds the quote\n- and (the third) is near to it too\n"
+                                          "- the second one -- it holds the QUOTE")], "document_id long, page_number int, raw_text string")
+    proof = spark.createDataFrame([(1, 1, 1, "holds\u3000 the quote"), (2, 1, 1, "is  nowhere"), (3, 1, 1, "third) is"), (4, 1, 1, "")],
+                                  "evidence_id long, document_id long, page_number int, quote string")
+    digest = context_digest(proof, pages)
+    assert {r.evidence_id: r.bullets for r in digest.collect()} == {
+        1: ["The first block says much here", "and (the third) is near to it too"], 2: [],
+        3: ["the second one, it holds the quote", "the second one -- it holds the QUOTE"],
+        4: ["the second one, it holds the quote"]}
+    plan = digest._jdf.queryExecution().optimizedPlan().toString()
+    window = next(line for line in plan.splitlines() if "Window [" in line)
+    assert "lower(" not in plan[plan.index(window):] and "array_distinct" not in plan[plan.index(window):]
+
+
 def test_severity_agreement(spark):
     pairs = spark.createDataFrame([(1, 1, "low", "low"), (1, 2, "high", "medium"), (1, 3, "critical", "low"), (1, 4, "odd", "low"), (2, 1, "low", "low")],
                                   "document_id long, pair_no long, gt_severity string, pl_severity string")
