@@ -24,20 +24,22 @@ def quote_pairs(truth: DataFrame, found: DataFrame, threshold: float) -> DataFra
 
     Copies are folded before anything is paired.  Two exact bounds are part of the join
     condition and keep the rest from the UDF: the LCS is at most the shorter token list, and
-    at most a list less its distinct tokens that do not occur on the other side.
+    at most a list less its distinct tokens that do not occur on the other side.  Tokens are told apart
+    by their hashes, which can only raise the bound, and what both hold is counted once a pair.
     """
     def quotes(df: DataFrame, side: str) -> DataFrame:
         body = df.select("document_id", F.coalesce("quote", F.lit("")).alias("q")).distinct()
         words = body.select("*", word_tokens("q").alias("t"))
         return words.select(
             "document_id", F.xxhash64("q").alias(f"{side}_key"), F.col("q").alias(f"{side}_q"),
-            F.size("t").alias(f"{side}_n"), F.array_distinct("t").alias(f"{side}_set"))
+            F.size("t").alias(f"{side}_n"), F.array_distinct(F.transform("t", lambda w: F.hash(w))).alias(f"{side}_set"))
 
     m, n = F.col("gt_n"), F.col("pl_n")
     low = threshold - 1e-9
-    by_length = (m > 0) & (n > 0) & ((2.0 * F.least(m, n)) / (m + n) >= low)
+    # of both sides at once: a filter on one of them would be pushed down and take every quote's tokens again
+    by_length = (F.least(m, n) > 0) & ((2.0 * F.least(m, n)) / (m + n) >= low)
     common = F.size(F.array_intersect("gt_set", "pl_set"))
-    reach = F.least(m - F.size("gt_set") + common, n - F.size("pl_set") + common)
+    reach = common + F.least(m - F.size("gt_set"), n - F.size("pl_set"))
     pairs = quotes(truth, "gt").join(quotes(found, "pl"), "document_id").filter(
         by_length & ((2.0 * reach) / (m + n) >= low))
     return spread(pairs, "gt_key", "pl_key").select(

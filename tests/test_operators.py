@@ -473,6 +473,13 @@ def test_digest_moves_texts_alone(spark):
     assert "lower(" not in plan[plan.index(window):] and "array_distinct" not in plan[plan.index(window):]
 
 
+def test_tokens_of_quotes_are_taken_once_a_side(spark):
+    kind = "document_id long, item_no long, quote string"
+    pairs = V.quote_pairs(spark.createDataFrame([(1, 1, "a b")], kind), spark.createDataFrame([(1, 1, "a c")], kind), 0.5)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2 and plan.count("array_intersect") == 1
+
+
 def test_severity_agreement(spark):
     pairs = spark.createDataFrame([(1, 1, "low", "low"), (1, 2, "high", "medium"), (1, 3, "critical", "low"), (1, 4, "odd", "low"), (2, 1, "low", "low")],
                                   "document_id long, pair_no long, gt_severity string, pl_severity string")
