@@ -631,6 +631,20 @@ def test_answers_take_the_first_value_that_decodes(spark):
     assert got[len(good)].error == A.NO_LIST  # as a decoder finds it: the list does not close, its first entry does
 
 
+def test_answers_are_parsed_once_for_their_candidates(spark):
+    from covenantry.sources.answers import load_answers, obligation_candidates
+    raw = '[{"quote": "a"}, null, [{"quote": "b"}], "c", {"quote": "d", "e": [1.50, {"f": null}]}]'
+    df = spark.createDataFrame([(1, raw), (2, "{}"), (3, None)], "document_id long, raw string").repartition(2)
+    loaded = load_answers(df)
+    assert [json.loads(r.rows_json) for r in loaded.filter("error is null").collect()] == [
+        [{"quote": "a"}, {"quote": "d", "e": [1.50, {"f": None}]}]]
+    found = obligation_candidates(loaded, "document_id")
+    assert rows(found, "document_id", "entry_no", "obligation_text") == [(1, 0, "a"), (1, 1, "d")]
+    # the one filter asks for a text; one for a list would stand below and parse each answer again
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan[plan.index("Generate"):]
+
+
 def test_candidates_take_strings_only_as_due_fields(spark):
     from covenantry.sources.answers import load_answers, obligation_candidates
     raw = ('[{"quote": "a", "due_date": 20240101, "due_rule": 7}, {"quote": "b", "due_date": "2024-01-02", "due_rule": null},'
