@@ -289,6 +289,14 @@ def test_novel_items_in_blocks_equal_a_scan(spark, monkeypatch, small):
     assert rows(D.novel_items(*frames, text="quote", order="n"), "document_id", "n") == sorted(want) and len(want) > 10
 
 
+def test_novel_items_are_compared_once_however_often_they_are_read(spark):
+    late = spark.createDataFrame([(1, 1, "one quote"), (1, 2, "another text")], "document_id long, n long, quote string")
+    new = D.novel_items(late, late.limit(0), text="quote", order="n")
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "resolve" not in plan
+    assert rows(new, "n") == [(1,), (2,)]
+
+
 def test_novel_items(spark):
     late = spark.createDataFrame([(1, 1, "The tenant pays rent monthly to the owner."), (1, 2, "the tenant pays rent monthly to the owner"),
                                   (1, 3, "Insurance must be kept in force."), (1, 4, "Insurance must be kept in force!"), (1, 5, " "),
