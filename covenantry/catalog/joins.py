@@ -161,7 +161,7 @@ def expected_pages(fx):
 
 @query("D11_label_errors", """
 select document_id, page_number, char_start, case when document_id % 2 = 0 and section_label = 'non_agreement' then 'false_exclusion'
-  when document_id % 2 = 1 and section_label = 'agreement_body' then 'false_inclusion' end as label_error from {labeled_chunks}""")
+  when document_id % 2 = 1 and section_label = 'agreement_body' then 'false_inclusion' end as label_error from {stripped_labels}""")
 def label_errors(fx):
     return V.label_errors(fx.labeled_chunks, expected_pages(fx)).select(
         "document_id", "page_number", "char_start", "label_error")

@@ -135,10 +135,10 @@ def score_counts(fx):
 @query("E10_diagnose_document", """
 with p as (select document_id, count(*) as pages, count(*) filter (where processing_status = 'processed') as pages_processed,
              count(*) filter (where processing_status = 'failed') as pages_failed, avg(length(raw_text)) as avg_raw_len,
-             avg(length(normalized_text)) as avg_normalized_len from {pages_doc} group by document_id),
+             avg(length(normalized_text)) as avg_normalized_len from {stripped_pages} group by document_id),
 c as (select document_id, count(*) as chunks, avg(length(text)) as avg_chunk_len, count(*) filter (where section_label = 'agreement_body') as agreement_body,
         count(*) filter (where section_label = 'non_agreement') as non_agreement, count(*) filter (where section_label is null) as unlabeled
-      from {labeled_chunks} group by document_id),
+      from {stripped_labels} group by document_id),
 o as (select document_id, count(*) as n from {obligations} group by document_id),
 r as (select document_id, count(*) as n from {risks} group by document_id)
 select d.document_id, coalesce(pages, 0) as pages, coalesce(pages_processed, 0) as pages_processed, coalesce(pages_failed, 0) as pages_failed,
@@ -163,7 +163,7 @@ def run_outputs(fx):
 
 @query("E11_documents_overview", """
 select d.document_id, d.source_name, d.parse_status, d.total_pages, d.uploaded_at, coalesce(c.n, 0) as chunks, coalesce(o.n, 0) as obligations
-from {docs} d left join (select document_id, count(*) as n from {split_chunks} group by document_id) c on c.document_id = d.document_id
+from {docs} d left join (select document_id, count(*) as n from {stripped_chunks} group by document_id) c on c.document_id = d.document_id
 left join (select document_id, count(*) as n from {obligations} group by document_id) o on o.document_id = d.document_id""")
 def overview(fx):
     return R.documents_overview(fx.docs, fx.chunks, fx.obligations)

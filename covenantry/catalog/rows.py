@@ -132,20 +132,20 @@ def pair_order(fx):
 
 _SECTIONS = """
 with s as (select document_id, count(*) as total, sum(case when section_label is null or section_label = 'agreement_body' then 1 else 0 end) as agreement
-           from {labeled_chunks} group by document_id)"""
+           from {stripped_labels} group by document_id)"""
 
 
 @query("C15_section_filter", _SECTIONS + """
 select c.document_id, c.page_number, c.char_start,
   case when agreement = 0 or (total - agreement)::double / total >= 0.9 then 'all_chunks_fallback' else 'filtered' end as chunk_source
-from {labeled_chunks} c join s on s.document_id = c.document_id
+from {stripped_labels} c join s on s.document_id = c.document_id
 where c.section_label is null or c.section_label = 'agreement_body' or agreement = 0 or (total - agreement)::double / total >= 0.9""")
 def section_filter(fx):
     return P.section_filter(fx.labeled_chunks).select("document_id", "page_number", "char_start", "chunk_source")
 
 
 @query("C15_section_stats", """
-with s as (select l.document_id % 50 as document_id, l.section_label from {labeled_chunks} l),
+with s as (select l.document_id % 50 as document_id, l.section_label from {stripped_labels} l),
 t as (select document_id, count(*) as total, cast(sum(case when section_label is null or section_label = 'agreement_body' then 1 else 0 end) as bigint) as agreement
       from s group by document_id)
 select document_id, total, agreement, total - agreement as non_agreement, round((total - agreement)::double / total, 4) as non_agreement_ratio,
@@ -156,7 +156,7 @@ def section_stats(fx):
 
 
 @query("C16_section_label", """
-with n as (select *, row_number() over (partition by document_id order by page_number, char_start) as no from {split_chunks})
+with n as (select *, row_number() over (partition by document_id order by page_number, char_start) as no from {stripped_chunks})
 select document_id, page_number, char_start,
   case when (document_id + no) % 3 = 0 and no <= greatest(ceil(n_chars / 4000), 1) then 'non_agreement' else 'agreement_body' end as section_label
 from n join {documents} on doc_id = document_id""")
@@ -196,7 +196,7 @@ def mode(fx):
 
 
 @query("C22_chunk_pages", """
-select document_id, page_number, char_start, char_end, sha256(text) as chunk_sha256, split_reason from {split_chunks}""")
+select document_id, page_number, char_start, char_end, sha256(text) as chunk_sha256, split_reason from {stripped_chunks}""")
 def chunk_rows(fx):
     return fx.chunks.drop("text")
 

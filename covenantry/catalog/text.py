@@ -76,7 +76,7 @@ def tables(fx):
 
 
 @query("B8_split_into_chunks", """
-select document_id, page_number, char_start, char_end, split_reason, length(text) as size from {split_chunks}""")
+select document_id, page_number, char_start, char_end, split_reason, length(text) as size from {stripped_chunks}""")
 def chunks(fx):
     return chunk_pages(fx.pages_doc).select(
         "document_id", "page_number", "char_start", "char_end", "split_reason",
@@ -234,7 +234,7 @@ _KEYWORDS = "['shall', 'must', 'required', 'within', 'deadline']"
 
 @query("C19_relevance_score", f"""
 with t as (select document_id, page_number, char_start, lower(text) as s, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as n
-           from {{split_chunks}})
+           from {{stripped_chunks}})
 select document_id, page_number, char_start, round(case when n = 0 then 0 else
   0.75 * len(list_filter({_KEYWORDS}, lambda k: contains(s, k))) / 5.0 + 0.25 * least(1.0, n / 200.0) end, 6) as relevance from t""")
 def relevance(fx):

@@ -32,6 +32,19 @@ def test_query_equals_oracle(spark, engine, name):
     assert ok, note
 
 
+@pytest.mark.parametrize("name", ["B8_split_into_chunks", "C22_chunk_pages", "E10_diagnose_document"])
+def test_any_white_space_at_the_ends_of_a_text_is_left_off(spark, tmp_path, name):
+    con = duckdb.connect()
+    for table in set(TABLES) - {"documents"}:
+        (tmp_path / f"{table}.parquet").symlink_to(f"{FOLDER}/{table}.parquet")
+    con.execute(f"""copy (select doc_id, chr(11) || repeat('some words of 1. Heading text ', 200) || chr(8232) || case when doc_id % 5 > 0 then '' end as text, lang, source, n_chars
+      from '{FOLDER}/documents.parquet' order by doc_id limit 5) to '{tmp_path}/documents.parquet' (format parquet)""")
+    for table in TABLES:
+        con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet'")
+    ok, note = check(spark, con, name, entry_module.queries()[name], entry_module.oracle_sql()[name], str(tmp_path))
+    assert ok, note
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns == ["asset_id", "name", "needs_review", "rejected", "points"] and df.count() > 0
