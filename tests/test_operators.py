@@ -774,3 +774,18 @@ def test_large_documents_are_told_apart_without_moving_texts(spark, monkeypatch)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti, BuildRight" in plan  # a broadcast of the few, no shuffle of the texts
     assert {(r.item_id, r.hit.page_number) for r in found.collect()} == {(d * 10 + n, n) for d in (1, 2) for n in range(1, 3 if d == 1 else 6)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _hits(spark):
+    made = "id as evidence_id, cast(id % 3 as string) as quote_sha256, id % 2 as document_id, 1 as page_number, 0 as normalized_char_start, 5 as normalized_char_end"
+    return spark.range(12).selectExpr(*made.split(", "), "timestamp '2024-01-01' as created_at")
+
+
+def test_owners_are_found_without_joining_back(spark):
+    kept = A.first_owner(_hits(spark).withColumn("page_number", F.nullif(F.col("evidence_id"), F.lit(3)) * 0), "created_at", "evidence_id")
+    assert "Join" not in _plan(kept)
+    assert rows(kept, "evidence_id") == [(i,) for i in (0, 1, 2, 4, 5, 9)]
