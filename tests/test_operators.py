@@ -789,3 +789,25 @@ def test_owners_are_found_without_joining_back(spark):
     kept = A.first_owner(_hits(spark).withColumn("page_number", F.nullif(F.col("evidence_id"), F.lit(3)) * 0), "created_at", "evidence_id")
     assert "Join" not in _plan(kept)
     assert rows(kept, "evidence_id") == [(i,) for i in (0, 1, 2, 4, 5, 9)]
+
+
+def test_contradictions_are_flagged_without_a_join(spark):
+    df = spark.createDataFrame(
+        [(1, 1, "payment", "pay $5", None, None, "low", "ok"), (2, 1, "payment", "pay $6", None, None, "low", "ok"),
+         (3, 1, "payment", "pay $7", None, None, "low", "rejected"), (4, None, "payment", "pay $8", None, None, "low", "ok"),
+         (5, None, "payment", "pay $9", None, None, "low", "ok"), (6, 2, "audit", "x", None, None, "low", "ok"), (7, 2, "audit", "x", None, None, "high", "ok"),
+         (8, 3, "audit", "x", 4, None, "low", None), (9, 3, "audit", "x", 4, None, "high", "ok")],
+        "obligation_id long, document_id long, obligation_type string, obligation_text string, responsible_entity_id long, due_date date, "
+        "severity string, status string").withColumn("contradiction_flag", F.lit(None).cast("boolean"))
+    flagged = K.flag_contradictions(df)
+    assert "Join" not in _plan(flagged) and flagged.count() == 9
+    assert rows(flagged.filter("contradiction_flag"), "obligation_id") == [(1,), (2,)]
+
+
+def test_texts_of_scored_items_stay_where_they_are(spark):
+    ob = spark.createDataFrame([(1, 1, "payment", "pay", "shall", None, "none", None, None, "ok", 0, False)], OB)
+    docs, evidence = spark.createDataFrame([(1, "invoice")], "document_id long, doc_type string"), spark.createDataFrame(EXACT, EV)
+    plan = _plan(S.score_obligations(ob.repartition(2, "document_id"), docs, evidence).select("document_id", "status"))
+    met = next(line for line in plan.splitlines() if "Join" in line and "obligation_id" in line)
+    below = plan[plan.index(met):].splitlines()[1]
+    assert "Project" in below and "obligation_text" not in below.split("(((")[0]
