@@ -109,9 +109,13 @@ def resolve_export_rows(
     items: DataFrame, documents: DataFrame, assets: DataFrame, evidence: DataFrame,
     reviews: DataFrame, users: DataFrame, *, key: str,
 ) -> DataFrame:
-    """Outer look-ups of one export row; what is missing stays NULL here."""
-    docs = documents.select("document_id", "asset_id", F.col("source_name").alias("document_filename"))
-    names = assets.select("asset_id", F.col("name").alias("asset_name"))
+    """Outer look-ups of one export row; what is missing stays NULL here.
+
+    Documents learn their asset's name and reviews their reviewer's address before they meet items, and
+    items meet documents first, so their long rows are moved by document and by key and no more.
+    """
+    docs = documents.select("document_id", "asset_id", F.col("source_name").alias("document_filename")).join(
+        assets.select("asset_id", F.col("name").alias("asset_name")), "asset_id", "left")
     proof = primary_evidence(
         evidence.select(key, "evidence_id", "created_at", "quote", "page_number",
                         "raw_char_start", "raw_char_end"), key
@@ -127,11 +131,8 @@ def resolve_export_rows(
     mails = users.select(
         F.col("user_id").alias("reviewer_id"), F.col("email").alias("reviewer_email")
     )
-    return (
-        items.join(proof, key, "left").join(last, key, "left")
-        .join(docs, "document_id", "left").join(names, "asset_id", "left")
-        .join(mails, "reviewer_id", "left")
-    )
+    last = last.join(mails, "reviewer_id", "left")
+    return items.join(docs, "document_id", "left").join(proof, key, "left").join(last, key, "left")
 
 
 # --- order and pages ---------------------------------------------------------------

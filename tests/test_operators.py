@@ -811,3 +811,15 @@ def test_texts_of_scored_items_stay_where_they_are(spark):
     met = next(line for line in plan.splitlines() if "Join" in line and "obligation_id" in line)
     below = plan[plan.index(met):].splitlines()[1]
     assert "Project" in below and "obligation_text" not in below.split("(((")[0]
+
+
+def test_export_names_assets_before_items_meet_documents(spark):
+    items = spark.sql("select 1 as obligation_id, 1 as document_id, 'text' as obligation_text")
+    docs, assets = spark.sql("select 1 as document_id, 1 as asset_id, 'f' as source_name"), spark.sql("select 1 as asset_id, 'a' as name")
+    proof = spark.sql("select 1 as obligation_id, 1 as evidence_id, now() as created_at, 'q' as quote, 1 as page_number, 0 as raw_char_start, 1 as raw_char_end")
+    reviews, users = spark.sql("select 1 as obligation_id, 1 as review_id, now() as decided_at, 2 as reviewer_id"), spark.sql("select 2 as user_id, 'e' as email")
+    df = L.resolve_export_rows(*(x.repartition(2) for x in (items, docs, assets, proof, reviews, users)), key="obligation_id")
+    joins = [line for line in df._jdf.queryExecution().analyzed().toString().splitlines() if "Join" in line]
+    depth = {name: len(line) - len(line.lstrip(" :+-")) for line in joins for name in ("asset_id", "document_id") if name in line}
+    assert depth["asset_id"] > depth["document_id"]
+    assert rows(df, "asset_name", "evidence_quote", "reviewer_email") == [("a", "q", "e")]
