@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from covenantry.catalog import query
 from covenantry.operators import contradictions as K, entities as E, evaluation as V, listing as L
 from covenantry.operators.containment import distinct_needles, first_pages
-from covenantry.operators.anchoring import EVIDENCE_KEY, anchor_exact, prepare_pages
+from covenantry.operators.anchoring import EVIDENCE_KEY, anchor_exact
 from covenantry.operators.notices import recipients
 from covenantry.operators.scoring import last_answer
+from covenantry.session import written
 from covenantry.sources.files import check_requests
 
 
@@ -117,7 +118,10 @@ select q.item_id, min(p.page_number) as page_number from {quotes} q join {pages_
 where strpos(p.normalized_text, q.quote) > 0 group by q.item_id""")
 def containment(fx):
     asked, needles = distinct_needles(fx.quotes.select("item_id", "document_id", F.col("quote").alias("needle")))
-    found = first_pages(needles, prepare_pages(fx.pages_line))
+    # stored, as pages are read more than once, and normalised once only
+    pages = written(fx.pages_line.select(
+        "document_id", "page_number", F.col("text_source").alias("source"), F.col("normalized_text").alias("page_text")))
+    found = first_pages(needles, pages.filter(F.col("page_text") != ""))
     return asked.join(found, ["document_id", "needle_id"]).select("item_id", "page_number")
 
 

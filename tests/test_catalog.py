@@ -45,6 +45,16 @@ def test_any_white_space_at_the_ends_of_a_text_is_left_off(spark, tmp_path, name
     assert ok, note
 
 
+def test_containment_takes_text_that_was_normalised_once(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"""copy (select cast(1 as bigint) as doc_id, chr(64257) || chr(769) || chr(10) || 'fi' || chr(769) as text, 'en' as lang, 's' as source,
+      cast(5 as bigint) as n_chars) to '{tmp_path}/documents.parquet' (format parquet)""")
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    name = "D7_text_containment_join"
+    ok, note = check(spark, con, name, entry_module.queries()[name], entry_module.oracle_sql()[name], str(tmp_path))
+    assert ok and note.startswith("1 rows"), note
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns == ["asset_id", "name", "needs_review", "rejected", "points"] and df.count() > 0

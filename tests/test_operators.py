@@ -823,3 +823,10 @@ def test_export_names_assets_before_items_meet_documents(spark):
     depth = {name: len(line) - len(line.lstrip(" :+-")) for line in joins for name in ("asset_id", "document_id") if name in line}
     assert depth["asset_id"] > depth["document_id"]
     assert rows(df, "asset_name", "evidence_quote", "reviewer_email") == [("a", "q", "e")]
+
+
+def test_blank_pages_are_left_off_after_they_are_stored(spark):
+    pages = spark.createDataFrame([(1, 1, " a\u0301  b ", "pdf_text"), (1, 2, " \u2028", "pdf_text")],
+                                  "document_id long, page_number int, raw_text string, text_source string")
+    ready = A.prepare_pages(pages.withColumn("normalized_text", normalize_text("raw_text")))
+    assert rows(ready, "page_number", "page_text") == [(1, "\u00e1 b")]
