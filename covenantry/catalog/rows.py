@@ -94,7 +94,7 @@ def gate(fx):
     answers = fx.documents.select(
         F.col("doc_id").alias("document_id"), proposed.alias("proposed_type"),
         ((F.col("doc_id") % 100) / F.lit(100.0)).alias("confidence"))
-    return P.gate_types(docs, fx.pages_line, answers, rules=LANGUAGE_BASE)
+    return P.gate_types(docs, fx.pages_line.drop("normalized_text"), answers, rules=LANGUAGE_BASE)
 
 
 @query("C14_integrity_report", """

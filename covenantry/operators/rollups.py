@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from covenantry.functions.text import is_blank
+from covenantry.functions.text import is_blank, normalize_text
 
 
 def _zero(*names: str):
@@ -294,11 +294,17 @@ def recent_runs(runs: DataFrame, k: int = 12) -> DataFrame:
 
 
 def sample_pages(pages: DataFrame, n: int = 3) -> DataFrame:
-    """First n non-blank pages per document, normalised text preferred over raw."""
-    text = F.when(F.col("normalized_text") != "", F.col("normalized_text")).otherwise(F.col("raw_text"))
+    """First n non-blank pages per document, normalised text preferred over raw.
+
+    Pages without normalised text are normalised once they are chosen: blank text stays blank by it, and no other gets blank.
+    """
+    text, stored = F.col("raw_text"), "normalized_text" in pages.columns
+    if stored:
+        text = F.when(F.col("normalized_text") != "", F.col("normalized_text")).otherwise(text)
     rows = pages.withColumn("sample_text", text).filter(~is_blank("sample_text"))
     w = W.partitionBy("document_id").orderBy("page_number")
-    return rows.withColumn("sample_no", F.row_number().over(w)).filter(F.col("sample_no") <= n)
+    first = rows.withColumn("sample_no", F.row_number().over(w)).filter(F.col("sample_no") <= n)
+    return first if stored else first.withColumn("sample_text", normalize_text("sample_text"))
 
 
 def snapshot_state(

@@ -825,6 +825,17 @@ def test_export_names_assets_before_items_meet_documents(spark):
     assert rows(df, "asset_name", "evidence_quote", "reviewer_email") == [("a", "q", "e")]
 
 
+def test_pages_are_sampled_before_they_are_normalised(spark):
+    raw = ["\u00a0 \u2028", "a  \u2013 b", None, "", "c\ufb01", "d", "e"]
+    pages = spark.createDataFrame([(1, i, t) for i, t in enumerate(raw)], "document_id long, page_number int, raw_text string")
+    sample = R.sample_pages(pages, 3)
+    assert rows(sample, "page_number", "sample_text") == [(1, "a - b"), (4, "cfi"), (5, "d")]
+    assert rows(R.sample_pages(pages.withColumn("normalized_text", normalize_text("raw_text")), 3), "page_number", "sample_text") == rows(
+        sample, "page_number", "sample_text")
+    # the filter that picks pages knows nothing of normalised text
+    assert _plan(sample).count("ArrowEvalPython") == 1
+
+
 def test_blank_pages_are_left_off_after_they_are_stored(spark):
     pages = spark.createDataFrame([(1, 1, " a\u0301  b ", "pdf_text"), (1, 2, " \u2028", "pdf_text")],
                                   "document_id long, page_number int, raw_text string, text_source string")
