@@ -64,3 +64,10 @@ def test_oracle_cuts_at_headings(spark, headed, name):
     folder, engine = headed
     ok, note = check(spark, engine, name, entry_module.queries()[name], entry_module.oracle_sql()[name], folder)
     assert ok, note
+
+
+@pytest.mark.parametrize("name", ["L1_process_stream"])
+def test_stream_cuts_at_headings(spark, headed, name):
+    folder, engine = headed
+    ok, note = check(spark, engine, name, entry_module.queries()[name], entry_module.oracle_sql()[name], folder)
+    assert ok, note
