@@ -71,3 +71,23 @@ def test_stream_cuts_at_headings(spark, headed, name):
     folder, engine = headed
     ok, note = check(spark, engine, name, entry_module.queries()[name], entry_module.oracle_sql()[name], folder)
     assert ok, note
+
+
+LETTERS = "".join(chr(0x4E00 + k) for k in range(1600))
+LAST = {  # what follows a first piece of 4,000 characters, and whether it is news beside it
+    "a part of it": (FILL * 4)[:4000] + (FILL * 4)[:2500], "too small a part": (FILL * 4)[:4000] + (FILL * 4)[:1500],
+    "nearly equal": (LETTERS * 3)[:4000] + (LETTERS * 3)[:1700] + "#" + (LETTERS * 3)[1700:3900],
+    "alike in another order": (LETTERS * 3)[:4000] + LETTERS[800:] + "#" * 300 + LETTERS[:800] + LETTERS,
+    "unlike": LETTERS[:1500] + "x" * 2500 + LETTERS[::-1] * 2 + "y" * 500,
+    "letter before a word": "z" * 4000 + " \u00e9by " + "q" * 400, "word": "z" * 4000 + " \u00e9 by " + "q" * 400,
+    "type by a phrase": "z" * 3000 + " a Tenant " + "z" * 2000,
+}
+
+
+def test_chain_items_tell_resembling_finds(spark, tmp_path):
+    given = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts = [*LAST.values(), *HEADED]
+    rows = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(texts, 12)], given.schema)
+    folder, engine = folder_with(tmp_path, spark, rows)
+    ok, note = check(spark, engine, "L1_chain_items", entry_module.queries()["L1_chain_items"], entry_module.oracle_sql()["L1_chain_items"], folder)
+    assert ok, note
