@@ -14,8 +14,8 @@ from covenantry.session import shared_folder
 
 @query("A1_ingest_files")
 def ingest_files(fx):
-    """The given files themselves, read as binary files and checked as uploads."""
-    files = S.read_files(fx.spark, fx.folder)
+    """The given files themselves, hashed as bytes and checked as uploads."""
+    files = S.hashed_files(fx.spark, fx.folder)
     loads = S.uploads_from_files(files, asset_id=1, uploaded_by=2, mime_type=F.lit("application/octet-stream"))
     return S.check_uploads(loads, 500).select("source_name", "size", "sha256", "kind", "reason")
 
