@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from covenantry.llm import decontaminate, jaccard_join, radix_dedup
 from tests.llm import brute
 
@@ -138,3 +140,14 @@ def test_contamination_of_nothing(spark):
     assert len(got) == len(rows) and not any(r.contaminated or r.n_hit or r.n_items for r in got)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.contamination(brute.empty(spark), items).count() == 0
+
+
+def test_only_hashes_that_may_be_shared_are_moved(spark):
+    rng = np.random.default_rng(5)
+    own, common = rng.integers(-2**63, 2**63 - 1, (40, 50)), rng.integers(-2**63, 2**63 - 1, 30)
+    rows = spark.createDataFrame([(k + 1, 50, [*own[k].tolist(), *common.tolist()] if k % 2 else own[k].tolist()) for k in range(40)] + [(99, 0, [])],
+                                 "class long, n long, sample array<long>")
+    shared = spark.createDataFrame([(t, 20) for t in common.tolist()], "of long, df long")
+    got = [tuple(r) for r in jaccard_join._perhaps_shared(rows, shared).collect()]
+    want = {(k + 1, 50, t) for k in range(1, 40, 2) for t in common.tolist()}
+    assert want <= set(got) and len(got) < len(want) + 20
