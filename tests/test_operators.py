@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import random
 from difflib import SequenceMatcher
 
@@ -841,3 +842,19 @@ def test_blank_pages_are_left_off_after_they_are_stored(spark):
                                   "document_id long, page_number int, raw_text string, text_source string")
     ready = A.prepare_pages(pages.withColumn("normalized_text", normalize_text("raw_text")))
     assert rows(ready, "page_number", "page_text") == [(1, "\u00e1 b")]
+
+
+def test_stored_tables_go_when_a_step_is_done(spark):
+    from covenantry.session import FILE_CLEANUP, ensure_checkpoint_dir, passing_tables, written
+
+    with passing_tables(spark):
+        first = written(spark.range(5))
+        last = written(first.filter("id > 2"), lasting=True)
+    assert sorted(r.id for r in last.collect()) == [3, 4] and spark.conf.get(FILE_CLEANUP) == "true"
+    top = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = {d for d in os.listdir(top) if d.startswith("written-")}
+    items = spark.createDataFrame([(1, 1, "rent is due"), (2, 1, "rent is due"), (3, 1, "nothing of it")], "item_id long, document_id long, quote string")
+    pages = spark.createDataFrame([(1, 1, "the rent is due on time", "ocr")], "document_id long, page_number int, normalized_text string, text_source string")
+    hits = {r.item_id: r.verification_method for r in A.anchor(items, pages).collect()}
+    assert hits == {1: "exact", 2: "exact", 3: None}
+    assert len({d for d in os.listdir(top) if d.startswith("written-")} - before) == 3
